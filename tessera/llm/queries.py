@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, sharding, toxicity
 
 QUERIES = {
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
     "op8_decontaminate": decontaminate.OP8_SQL,
