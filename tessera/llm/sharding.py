@@ -37,8 +37,8 @@ def deal(sizes: list[int], counts: list[int], shards: int) -> list[list[tuple[in
             fits = lambda t: sum(-(-(t - load) // size) for load, _ in heap if load < t)
             while fits(t) > count:
                 t -= size
-            heap = [(load + (n := -(-(t - load) // size) if load < t else 0) * size, k) for load, k in heap if not took.update({k: n})]
-            took = {k: n for k, n in took.items() if n}
+            took = {k: -(-(t - load) // size) for load, k in heap if load < t}
+            heap = [(load + took.get(k, 0) * size, k) for load, k in heap]
             heapq.heapify(heap)
             count -= sum(took.values())
         for _ in range(count):
