@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding, toxicity
+from . import decontaminate, sharding, topk, toxicity, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_topk": topk.op9_topk,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
