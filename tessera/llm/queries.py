@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, sharding, topk, toxicity, warc
+from . import decontaminate, license_scan, sentencepiece, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_sentencepiece": sentencepiece.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_topk": topk.op9_topk,
