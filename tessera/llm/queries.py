@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, sentencepiece, sharding, topk, toxicity, warc
+from . import decontaminate, jaccard, license_scan, sentencepiece, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_sentencepiece": sentencepiece.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
+    "op3_jaccard": jaccard.OP3_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
 }
