@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, license_scan, sentencepiece, sharding, topk, toxicity, warc
+from . import decontaminate, html_extract, jaccard, license_scan, lm_score, sentencepiece, sharding, topk, toxicity, warc
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_warc": warc.op2_warc,
     "op3_jaccard": jaccard.op3_jaccard,
+    "op4_html": html_extract.op4_html,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_sentencepiece": sentencepiece.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
