@@ -1,10 +1,6 @@
-"""Registry of queries and of the SQL that checks them."""
+"""All queries of the library; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import graphs, lexicons, matches, ranks, reviews, streams, texts  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
