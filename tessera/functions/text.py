@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; written out, as \s differs between engines.
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -41,7 +42,7 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which has no built-in expression."""
     return x.str.normalize("NFKC")

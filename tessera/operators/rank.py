@@ -43,7 +43,7 @@ def longest_match(items: DataFrame, keys: list[str]) -> DataFrame:
     grouped = items.groupBy(*keys).agg(sort.alias("_all"))
     none = F.filter("_all", lambda _: F.lit(False))
     kept = F.aggregate("_all", none, lambda a, x: F.when(F.exists(a, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), a).otherwise(F.concat(a, F.array(x))))
-    return grouped.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.start", "k.end")
+    return grouped.select(*keys, F.explode(kept).alias("_kept")).select(*keys, "_kept.start", "_kept.end")
 
 
 def reference_pool(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", mention: str = "mention") -> DataFrame:
