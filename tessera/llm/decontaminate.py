@@ -135,13 +135,14 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 _NEW = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _SPAN)])
 
 
-def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of ranges, as ranges."""
+def _merged(start: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of ranges, as ranges; those of neighbouring texts (bounds: where texts begin) stay apart though they touch."""
     if not len(start):
         return start, end
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate(end[order])
-    first = np.concatenate([[True], start[1:] > end[:-1]])
+    text = np.searchsorted(bounds, start, "right")
+    first = np.concatenate([[True], (start[1:] > end[:-1]) | (text[1:] != text[:-1])])
     last = np.concatenate([first[1:], [True]])
     return start[first], end[last]
 
@@ -169,7 +170,7 @@ def _probe(rows_in: DataFrame, windows) -> DataFrame:
                     start = np.concatenate([start, old.flatten().field(0).to_numpy() + base_at])
                     end = np.concatenate([end, old.flatten().field(1).to_numpy() + base_at])
                     items = pa.array([[*a, *b] for a, b in zip(rows.column(4).to_pylist(), items.to_pylist(), strict=True)], items.type)
-                start, end = _merged(start, end)
+                start, end = _merged(start, end, words.bounds)
                 doc = words.of[start] if len(start) else none
                 many, at = np.bincount(doc, minlength=n), words.bounds[doc]
                 spans = list_array(many, pa.StructArray.from_arrays([pa.array(start - at, pa.int32()), pa.array(end - at, pa.int32())], ["start", "end"]))

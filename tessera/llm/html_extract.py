@@ -152,7 +152,7 @@ def text_features(text: str, tag: str, linked: float) -> list[str]:
 
 # -- labelled pages ---------------------------------------------------------------------------------------------------
 
-_MARK = ""
+_MARK = "\ue000"
 #: Container names that page authors use; what they hold is not the article.
 ASIDE_NAMES = {
     "nav": "nav navigation menu navbar topnav breadcrumb breadcrumbs main-menu site-nav pagination pager tabs toc skip links".split(),
