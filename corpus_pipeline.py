@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, jaccard, sentencepiece, toxicity
 from tessera.llm.common import stage
 
+#: Most ids in a broadcast: 8 MB.
+BROADCAST_IDS = 1_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. The classifier is fitted on the labelled rows of docs that op7 may learn from; null and empty texts stay."""
@@ -24,15 +27,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words link with nothing, so that all of them stay, as do rows with a null doc_id.
     """
-    found = jaccard.similarity_join(docs)
-    keep = stage(found.where("doc_id is not null and n_shingles > 0 and component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    blank = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = docs.where(blank)
-    wordy = docs.where(~blank).join(keep.select("doc_id", "rows"), "doc_id")
-    out = wordy.where("rows = 1").select(*docs.columns).unionByName(stay)
-    if keep.where("rows > 1").isEmpty():
-        return out
-    return out.unionByName(wordy.where("rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    found = stage(jaccard.similarity_join(docs), "components")
+    gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    # ids by broadcast while they are few, else by a join of both sides on the id
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = stage(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    twice = left.where(wordy).join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    once = left.where(wordy).join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(twice).unionByName(left.where(~wordy))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,9 @@ from .common import NON_SPACE, Words, batch_rows, fresh_dir, mix, run_hash, slic
 #: Shingles that a bucket should hold; the number of buckets follows the corpus.
 BUCKET = 500_000
 #: Shingles that a task packs at once.
-PACK = 2_000_000
+PACK = 500_000
+#: Bytes of text that a task hashes at once.
+SLICE = 1 << 20
 _U = np.uint64
 
 
@@ -108,7 +110,7 @@ def _signed(base: DataFrame, k: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, size=SLICE):
                 hashes, counts = shingle_sets(data, offsets, k)
                 a, b = _digests(hashes, counts)
                 n = rows.num_rows
@@ -154,7 +156,7 @@ def _shared(base: DataFrame, signed: DataFrame, taken: DataFrame, k: int, bucket
             return pa.RecordBatch.from_arrays([pa.array(number[cut[:-1]]), pa.array(np.full(len(cut) - 1, src)), pa.array([_sorted_in(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([_planes(o[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["bucket", "src", "hashes", "rows"])
 
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, size=SLICE):
                 hashes, counts = shingle_sets(data, offsets, k)
                 here = np.arange(row, row + rows.num_rows)
                 row += rows.num_rows

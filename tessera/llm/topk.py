@@ -117,7 +117,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_values: int = Q
     spark: SparkSession = vectors.sparkSession
     held = stage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null").withColumn("width", F.size("v")), "vectors")
     # |score| is at most the product of the largest lengths
-    widths = held.groupBy("width").agg(F.max(F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x * x)).alias("norm")).orderBy("width").collect()  # a row for each length of a vector
+    widths = held.groupBy("width").agg(F.max(F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm")).orderBy("width").collect()  # a row for each length of a vector
     found = None
     for width, norm in widths:
         candidates = held.where(F.col("width") == width).select("vec_id", "v")

@@ -23,7 +23,7 @@ BITS = 18
 LENGTHS = (3, 4, 5, 6)
 #: Bound of the labelled rows that the classifier is fitted on, and of their bytes (beyond it, rows are left out whole).
 MAX_LABELLED = 4000
-MAX_LABELLED_BYTES = 32 << 20
+MAX_LABELLED_BYTES = 8 << 20
 
 #: A feature counts if so many training texts have it and its classes' rates differ by this factor (as a logarithm).
 LEAST_TEXTS = 3
@@ -71,22 +71,23 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 60, l2: float = 1e-4)
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return np.zeros(size), 0.0 if not len(y) else (40.0 if y[0] else -40.0)
-    every, ids, counts = np.ones(size, bool), [], []
+    every, held, p, seen = np.ones(size, bool), [], np.zeros(size), np.zeros(size)
     for begin in range(0, len(texts), 100):
         i, c = features(*utf8(pa.array(texts[begin : begin + 100])), every)
-        ids.append(i.astype(np.int32))
-        counts.append(c)
-    ids, counts = np.concatenate(ids), np.concatenate(counts)
-    p = np.bincount(ids, weights=np.repeat(y, counts), minlength=size)
-    seen = np.bincount(ids, minlength=size)
+        p += np.bincount(i, weights=np.repeat(y[begin : begin + 100], c), minlength=size)
+        seen += np.bincount(i, minlength=size)
+        held.append((i.astype(np.int32), c))
     ratio = np.log(((1 + p) / (1 + y.sum())) / ((1 + seen - p) / (1 + (1 - y).sum())))
     used = (np.abs(ratio) >= LEAST_RATIO) & (seen >= LEAST_TEXTS)
     ratio[~used] = 0
-    keep = used[ids]
-    of = np.repeat(np.arange(len(y)), counts)[keep]
-    counts = np.bincount(of, minlength=len(y))
+    # only what is used stays, chunk by chunk
+    for n, (i, c) in enumerate(held):
+        keep = used[i]
+        held[n] = (i[keep], np.bincount(np.repeat(np.arange(len(c)), c)[keep], minlength=len(c)))
+    ids, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    of = np.repeat(np.arange(len(y)), counts)
     column = np.flatnonzero(used)
-    ids = np.searchsorted(column, ids[keep])
+    ids = np.searchsorted(column, ids)
     ratio = ratio[column]
     value = ratio[ids]
     w, b = np.zeros(len(column)), float(np.log(y.mean() / (1 - y.mean())))
