@@ -30,7 +30,7 @@ def probe(clauses: DataFrame, rules: DataFrame) -> DataFrame:
 
 def match_rules(clauses: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, clause_no, rule_id, intent, priority, start, end, surface: every match of every rule that may match."""
-    hits = probe(clauses, rules).withColumn("m", F.explode(_column_spans("clause", "pattern")))
+    hits = probe(clauses, rules).where(F.regexp_like("clause", F.col("pattern"))).withColumn("m", F.explode(_column_spans("clause", "pattern")))
     return hits.select(key, "clause_no", "rule_id", "intent", "priority", (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"), F.col("m.surface").alias("surface"))
 
 
