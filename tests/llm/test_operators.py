@@ -1,0 +1,429 @@
+"""The ten operators against brute force, round trips and held-out accuracy, with nulls, empties, ties, repeats and clashing columns."""
+
+import base64
+import gzip
+import hashlib
+import heapq
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, html_extract, jaccard, license_scan, lm_score, sentencepiece, sharding, topk, toxicity, warc
+from tessera.llm.common import fresh_dir, utf8
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(x):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+
+
+def words(r, n, vocabulary=40):
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+# -- 8 ----------------------------------------------------------------------------------------------------------------
+
+
+def brute_windows(rows, items, n=10):
+    wins = []
+    for item, text in set(items):
+        w = ALNUM.findall(lower(text or ""))
+        k = min(n, len(w))
+        wins += [(str(item), w[i : i + k]) for i in range(len(w) - k + 1) if k]
+    out = []
+    for doc, text in rows:
+        w = ALNUM.findall(lower(text or ""))
+        hit, found = set(), set()
+        for item, k in wins:
+            for i in range(len(w) - len(k) + 1):
+                if w[i : i + len(k)] == k:
+                    hit |= set(range(i, i + len(k)))
+                    found.add(item)
+        out.append((doc, len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("block_words", [10**6, 12])
+def test_decontaminate(spark, block_words):
+    r = random.Random(3)
+    items = [(i, " ".join(words(r, r.choice([1, 2, 3, 9, 10, 25])))) for i in range(8)] + [(9, None), (10, " ... "), (11, "same words here"), (12, "same words here"), (11, "same words here")]
+    rows = [(i, " ".join(words(r, 30)) + " " + (r.choice(items)[1] or "") + "! SAME, words; here " * (i % 3)) for i in range(30)] + [(30, None), (31, ""), (31, ""), (None, items[0][1])]
+    df = docs_of(spark, rows).withColumn("n_hit", F.lit("clash")).withColumn("_x", F.lit(1))
+    found = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id int, text string"), block_words=block_words)
+    got = [(x.doc_id, x.n_words, x.n_hit, x["items"]) for x in found.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_windows(rows, items)))
+    assert "_x" in found.columns and all(sum(s.end - s.start for s in x.spans) == x.n_hit for x in found.collect())
+
+
+def test_decontaminate_empty(spark):
+    none = spark.createDataFrame([], "item_id int, text string")
+    df = docs_of(spark, [(1, "a b")])
+    assert decontaminate.decontaminate(df, none).select("n_words", "n_hit").collect() == [(2, 0)]
+    assert decontaminate.decontaminate(df.limit(0), none).count() == 0
+
+
+# -- 3 ----------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, k=5, percent=75):
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and rows[i][0] is not None and rows[j][0] is not None and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                label[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return [(d, len(s), None if d is None else least[root(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_jaccard(spark, seed):
+    r = random.Random(seed)
+    rows, ident = [], 0
+    for _ in range(25):
+        base = words(r, r.choice([1, 3, 4, 5, 8, 30, 120]), 3000)
+        for _ in range(r.choice([1, 1, 2, 6])):
+            copy = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, 4])):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(9999)}"
+            rows.append((ident * 7 % 1000, r.choice([" ", "\n", " \t"]).join(copy).upper() if r.random() < 0.2 else " ".join(copy)))
+            ident += 1
+    rows += [(2000, None), (2001, ""), (2002, "  \n"), (None, rows[0][1]), (2003, rows[0][1]), (2003, rows[0][1])]
+    got = [tuple(x) for x in jaccard.similarity_join(docs_of(spark, rows).withColumn("n", F.lit(1))).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows)))
+
+
+def test_jaccard_chain_and_shared_passage(spark):
+    r = random.Random(5)
+    base, rows = words(r, 200, 10**6), []
+    for i in range(40):  # each differs from the one before in five words: a chain of links
+        base = list(base)
+        for _ in range(1):
+            base[(i * 5) % 200] = f"c{i}"
+        rows.append((i, " ".join(base)))
+    passage = " ".join(words(r, 60, 10**6))
+    rows += [(100 + i, " ".join(words(r, 200, 10**6)) + " " + passage) for i in range(30)]
+    got = [tuple(x) for x in jaccard.similarity_join(docs_of(spark, rows)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows)))
+
+
+def test_jaccard_empty(spark):
+    assert jaccard.similarity_join(docs_of(spark, [])).count() == 0
+    assert [tuple(x) for x in jaccard.similarity_join(docs_of(spark, [(1, None)])).collect()] == [(1, 0, 1)]
+
+
+# -- 9 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_topk(spark):
+    r = random.Random(1)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.125, 1.0]) for _ in range(4)]) for i in range(230)] + [(i, [1.0, 1.0, 1.0, 1.0]) for i in range(300, 340)]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan")] * 4), (403, [float("inf")] * 4), (None, [1.0] * 4), (12, [1.0] * 4)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0)))
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q in sorted({i for i, _ in good if i % 50 == 0}):
+        v = min(v for i, v in good if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want)
+
+
+def test_topk_few_and_large(spark):
+    rows = [(0, [3e6, 1.0]), (1, [3e6, 2.0]), (2, [-3e6, 0.5])]
+    got = [tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=50).orderBy("rank").collect()]
+    q = [[math.floor(256 * x) for x in v] for _, v in rows]
+    assert got == [(0, 1, 1, sum(a * b for a, b in zip(q[0], q[1], strict=True))), (0, 2, 2, sum(a * b for a, b in zip(q[0], q[2], strict=True)))]
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# -- 10 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_deal_is_the_heap():
+    r = random.Random(0)
+    for _ in range(100):
+        k = r.choice([1, 3, 40])
+        sizes = sorted(r.sample(range(500), r.randint(1, 12)), reverse=True)
+        counts = [r.choice([1, 2, 50, 700]) for _ in sizes]
+        heap, want = [(0, i) for i in range(k)], []
+        for s, c in zip(sizes, counts, strict=True):
+            took = Counter()
+            for _ in range(c):
+                load, i = heap[0]
+                heapq.heapreplace(heap, (load + s, i))
+                took[i] += 1
+            want.append(sorted(took.items()))
+        assert sharding.deal(sizes, counts, k) == want
+
+
+def test_sharding(spark):
+    r = random.Random(2)
+    rows = [(i, "x" * r.choice([0, 1, 5, 50, 200])) for i in range(300)] + [(1000 + i, "hot text") for i in range(200)] + [(2000, None), (2000, None), (5, "x")]
+    df = docs_of(spark, rows).withColumn("shard", F.lit("clash"))
+    out = sharding.shard_groups(df, F.col("text"), F.coalesce(F.octet_length("text"), F.lit(0)) + 16, ["doc_id"], 7).collect()
+    assert sorted(map(repr, [(x.doc_id, x.text) for x in out])) == sorted(map(repr, rows))
+    by, group, load = {}, {}, Counter()
+    for x in out:
+        by.setdefault(x.shard, []).append(x.slot)
+        group.setdefault(x.text, set()).add(x.shard)
+        load[x.shard] += len(x.text or "") + 16
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and all(len(v) == 1 for v in group.values())
+    totals = Counter()
+    for _, t in rows:
+        totals[t] += len(t or "") + 16
+    heap = [0] * 7
+    for s in sorted(totals.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + s)
+    assert sorted(load.values()) == sorted(heap)
+    assert sharding.shard_groups(df.limit(0), F.col("text"), F.lit(1), ["doc_id"]).count() == 0
+
+
+# -- 2 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b/\r\nX: y", None), (4, "u", ""), (None, "u", "<p>é</p>"), (5, "u", "z" * 100_000), (5, "u", "z" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
+    archives = warc.write_warc(pages, fresh_dir(spark, "warc"))
+    got = warc.read_warc(archives).collect()
+    assert all(x.error is None for x in got) and len(got) == len(rows)
+    responses = {(x.page_id, bytes(x.payload).decode()) for x in got if x.record_type == "response"}
+    assert responses == {(2, "<p>é</p>"), (4, ""), (5, "z" * 100_000)}
+    ids = {x.record_id: x for x in got if x.record_type == "response"}
+    assert {(x.page_id, ids[x.refers_to_record].page_id) for x in got if x.record_type == "revisit"} == {(1, 2), (None, 2), (3, 4)}
+    assert all(x.payload_digest == base64.b32encode(hashlib.sha1(x.payload).digest()).decode() for x in got if x.payload is not None)
+    again = warc.read_warc(warc.write_warc(pages, fresh_dir(spark, "warc"), min_revisit=1000)).collect()
+    assert sum(x.record_type == "revisit" for x in again) == 0
+    assert warc.read_warc(warc.write_warc(pages.limit(0), fresh_dir(spark, "warc"))).count() == 0
+
+
+def test_warc_finds_damage():
+    import io
+
+    good = b"".join(warc.member(i, "u", b"x" * 3000, warc.digest(b"x" * 3000), None, "response", "2000-01-01T00:00:00Z") for i in range(3))
+    assert [e for *_, e in warc.Reader(io.BytesIO(good))] == [None] * 3
+    assert [o for o, *_ in warc.Reader(io.BytesIO(good))][1] == len(good) // 3
+    first = len(good) // 3
+    raw = gzip.decompress(good[:first])
+    bad = gzip.compress(raw.replace(b"xxxx", b"xxxy", 1)) + good[first:]
+    assert [e for *_, e in warc.Reader(io.BytesIO(bad))] == ["block digest differs", None, None]
+    assert "Error" in list(warc.Reader(io.BytesIO(good[:-20])))[-1][3]
+    short = gzip.compress(raw[:-10])
+    assert "Content-Length" in list(warc.Reader(io.BytesIO(short)))[0][3]
+
+
+# -- 5 ----------------------------------------------------------------------------------------------------------------
+
+
+def brute_base(text):
+    w = ALNUM.findall(lower(text or ""))
+    places, labels = [], set()
+    for phrase, label in license_scan.BASE.items():
+        p = phrase.split()
+        for i in range(len(w) - len(p) + 1):
+            if w[i : i + len(p)] == p:
+                places.append(i)
+                labels.add(label)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def brute_detections(text):
+    """All matches of all rules by scanning, then suppression by pairs."""
+    low = " " + " ".join(ALNUM.findall(lower(text or ""))) + " "
+    found = []
+    for i, label, _, priority, _, pattern in license_scan.rules():
+        for m in re.finditer(f"(?<= )(?:{pattern})(?= )", low):
+            a = low[: m.start()].count(" ") - 1
+            found.append((a, a + m[0].count(" ") + 1, priority, i, label))
+    order = sorted(found, key=lambda x: (x[0], -x[1], x[2], x[3]))
+    kept = []
+    for n, d in enumerate(order):
+        if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] <= d[2] for e in order[:n]):
+            kept.append(d)
+    return kept
+
+
+def test_license_scan(spark):
+    r = random.Random(4)
+    bits = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "GNU General Public License, version 3", "SPDX-License-Identifier: BSD-3-Clause", "mit license", "general public", "license", "CC BY-NC 4.0", "Lorem ipsum, dolor", "Copyright (c) 2020 A B. All rights reserved.", "é_x", "public domain", "mit", "in the public-domain"]
+    rows = [(i, " ".join(r.choice(bits) for _ in range(r.randint(0, 7)))) for i in range(120)] + [(500, None), (501, ""), (502, "MIT LICENSE " * 300)]
+    got = {x.doc_id: x for x in license_scan.scan(docs_of(spark, rows).withColumn("labels", F.lit(0))).collect()}
+    for i, text in rows:
+        x = got[i]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == brute_base(text), text
+        assert [(d.start, d.end, d.priority, d.rule, d.label) for d in x.detections] == brute_detections(text), text
+        assert set(filter(None, x.base_labels.split(","))) <= set(x["labels"].split(",")) and 0 <= x.score <= 1
+    assert len(license_scan.rules()) > 200
+
+
+def test_license_keywords_are_necessary():
+    for _, _, key, _, _, pattern in license_scan.rules():
+        assert key.split()[0] in pattern or key.endswith("licen"), (key, pattern)
+
+
+# -- 6 ----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece.load_model()
+
+
+def test_sentencepiece_equals_the_library(model):
+    import public_tokenizers
+    import sentencepiece as library
+
+    sp = library.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(9)
+    texts = ["", None, "a", "  b  ", "▁▁ x▁y", "日本語🎉", "a" * 5000, " " * 40, "<s> <0x0A>", "\x00\x01\n\t", "don't stop"]
+    texts += ["".join(r.choice("abcdetionsrh   \n.,éñ日ÀЖ1") for _ in range(r.randint(0, 200))) for _ in range(400)]
+    encoder = sentencepiece.Encoder(model)
+    for part in (texts, texts[::-1]):
+        ids, counts = encoder(*utf8(pa.array(part, pa.string())))
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:], strict=False)] == [sp.encode(x) if x else [] for x in part]
+
+
+def test_sentencepiece_frames(spark, model):
+    rows = [(1, "Hello world"), (2, None), (3, ""), (3, ""), (4, "meta ▁ here")]
+    out = sentencepiece.encode(docs_of(spark, rows).withColumn("ids", F.lit(1)), model=model)
+    got = {x.doc_id: x for x in out.collect()}
+    assert got[1].round_trip and got[2].n_tokens == 0 and got[2].round_trip and not got[4].round_trip
+    back = sentencepiece.decode(out.drop("text"), model=model).collect()
+    assert sorted((x.doc_id, x.text) for x in back) == [(1, "Hello world"), (2, ""), (3, ""), (3, ""), (4, "meta   here")]
+    assert sentencepiece.encode(docs_of(spark, []), model=model).count() == 0
+
+
+# -- 7 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(words(r, 40, 500) + (["you", "utter", "blockhead"] if i % 4 == 0 else []))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    docs = docs_of(spark, rows + [(1000, None), (1001, ""), (1001, "")])
+    learn = toxicity.train(docs, labels, toxicity.LEARN)
+    got = {x.doc_id: x for x in toxicity.score(docs.withColumn("score", F.lit("clash")), *learn).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i].predicted == int(i % 4 == 0) for i in held]) > 0.97
+    assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got.values()) and got[1000].score == got[1001].score
+
+
+def test_toxicity_without_labels(spark):
+    docs = docs_of(spark, [(1, "a")])
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [x.score for x in toxicity.score(docs, *toxicity.train(docs, none)).collect()] == [0.5]
+    one = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert toxicity.score(docs, *toxicity.train(docs, one)).first().predicted == 0
+
+
+# -- 4 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_html_field_on_held_out_pages():
+    r = random.Random(123)
+    extractor, right, total = html_extract.Extractor(html_extract.default_field()), 0, 0
+    for _ in range(300):
+        page = html_extract.labelled_page(r)
+        truth = [x[0].startswith(html_extract._MARK) for x in html_extract.blocks(page, html_extract.Paths()) if x[0] != html_extract._MARK]
+        found = [label for _, label in extractor.labels(page.replace(html_extract._MARK, ""))]
+        if len(truth) == len(found):
+            right += sum(a == b for a, b in zip(truth, found, strict=True))
+            total += len(truth)
+    assert right / total > 0.97
+
+
+def test_viterbi_is_the_best_chain():
+    from itertools import product
+
+    r = random.Random(1)
+    for _ in range(50):
+        n = r.randint(1, 7)
+        pairs, ends, scores = np.array([[r.gauss(0, 1) for _ in range(2)] for _ in range(2)]), np.array([[r.gauss(0, 1) for _ in range(2)] for _ in range(2)]), [r.gauss(0, 1) for _ in range(n)]
+        value = lambda c: ends[0][c[0]] + ends[1][c[-1]] + sum(s * x for s, x in zip(scores, c, strict=True)) + sum(pairs[a][b] for a, b in zip(c, c[1:], strict=False))  # noqa: B023, E731
+        assert html_extract.Field([], np.zeros(0), pairs, ends).viterbi(scores) == [bool(x) for x in max(product((0, 1), repeat=n), key=value)]
+
+
+def test_html_frames(spark):
+    page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class=ad>Buy this now, it is cheap.</div><article><h1>Big  &amp; small</h1><p>First <b>bold</b>,\n here is a sentence &lt;x&gt;.<p>Second one here is a longer sentence.</article><section id=comments><p>Great post, thanks!</p></section><footer>&copy; x</footer>"
+    rows = [(1, page), (2, None), (3, ""), (3, ""), (4, "<<<>><p"), (5, "<p>" * 3000 + "x")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, html string").withColumn("n_chars", F.lit("c"))).collect()
+    text = {x.page_id: x.text for x in got}
+    assert text[1] == "Big & small\nFirst bold, here is a sentence <x>.\nSecond one here is a longer sentence."
+    assert text[2] == text[3] == "" and len(got) == 6 and all(x.n_chars == len(x.text) for x in got)
+
+
+# -- 1 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_lm_prefers_the_corpus(spark):
+    r = random.Random(8)
+    cycle = [f"k{i}" for i in range(30)]
+
+    def sentence():
+        a = r.randrange(30)
+        return " ".join(cycle[(a + i) % 30] for i in range(60))
+
+    docs = docs_of(spark, [(i, sentence()) for i in range(600)]).repartition(3).cache()
+    v = lm_score.vocabulary(docs)
+    theta = lm_score.train(docs, v, rounds=4)
+    shuffled = " ".join(r.sample(sentence().split(), 60))
+    probe = docs_of(spark, [(1, sentence()), (2, shuffled), (3, None), (4, ""), (4, "")]).withColumn("log_prob", F.lit("clash"))
+    got = {x.doc_id: x for x in lm_score.score(probe, v, theta).collect()}
+    assert got[1].mean_log_prob > got[2].mean_log_prob + 0.5
+    assert (got[3].n_tokens, got[3].log_prob, got[3].mean_log_prob) == (0, 0.0, None)
+    assert abs(got[1].log_prob / got[1].n_tokens - got[1].mean_log_prob) < 1e-9
+
+
+def test_lm_counts_every_word(spark):
+    rows = [(1, "A b a"), (2, None), (3, "b c")]
+    counts = sorted(x.n for x in lm_score.count_words(docs_of(spark, rows)).collect())
+    assert counts == [1, 2, 2]
+    v = lm_score.vocabulary(docs_of(spark, []))
+    assert lm_score.score(docs_of(spark, [(1, "x")]), v, lm_score.train(docs_of(spark, []), v)).first().n_tokens == 1
+
+
+def test_lm_gradient():
+    r = np.random.default_rng(0)
+    v = lm_score.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), 0.0, np.zeros(lm_score.CLASSES + 1))
+    theta = lm_score.initial(v).astype(np.float64)
+    context, target = r.integers(0, 100, (20, 6)), r.integers(0, 129, 20)
+
+    def loss(t):
+        e, w, b, u, c = lm_score._views(t)
+        z = np.maximum(e[context].reshape(20, -1) @ w + b, 0) @ u + c
+        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(20), target]))
+
+    before = theta.copy()
+    lm_score.descend(theta, squares := np.full_like(theta, 1e-3), context, target)
+    grad = np.sqrt(squares - 1e-3) * -np.sign(theta - before)
+    for i in [*np.argsort(-np.abs(grad))[:5], 16 * 50 + 3]:
+        t = before.copy()
+        t[i] += 1e-5
+        assert abs((loss(t) - loss(before)) / 1e-5 - grad[i]) < 1e-4
