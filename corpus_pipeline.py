@@ -16,10 +16,19 @@ from tessera.llm.common import stage
 BROADCAST_IDS = 1_000_000
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that no name can clash with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. The classifier is fitted on the labelled rows of docs that op7 may learn from; null and empty texts stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.LEARN)
-    return toxicity.score(docs, *model).where("predicted = 0").select(*docs.columns)
+    return unpacked(toxicity.score(packed(docs), *model).where("predicted = 0"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,25 +40,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     # ids by broadcast while they are few, else by a join of both sides on the id
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    left = packed(docs).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     repeated = stage(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    twice = left.where(wordy).join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    once = left.where(wordy).join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(twice).unionByName(left.where(~wordy))
+    if not repeated.isEmpty():
+        wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        twice = left.where(wordy).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.where(wordy).join(repeated, "doc_id", "left_anti").unionByName(twice).unionByName(left.where(~wordy))
+    return unpacked(left, docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = decontaminate.decontaminate(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return unpacked(found.where("n_hit = 0"), docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and round_trip of every document that is left."""
-    return sentencepiece.encode(docs, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
+    return sentencepiece.encode(docs.select("doc_id", "text"), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
 
 
 STAGES = [

@@ -173,10 +173,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "detections", "score"]
     kept = [c for c in docs.columns if c not in new]
-    raw = F.col(f"`{text}`").cast("string")
+    raw = F.col("_t")
     gate = F.coalesce(raw.rlike("(?i)" + "|".join(STEMS)), F.lit(False))
     words = F.regexp_replace(F.concat(F.lit(" "), F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" ")), _NOT_WORD, " ")
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.regexp_count(raw, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"), F.when(gate, words).alias("_w"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_t"))
+    df = held.select("_row", F.coalesce(F.regexp_count(raw, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"), F.when(gate, words).alias("_w"))
 
     # base phrases: places of each as the words before them
     found, first, last = {}, [], []
@@ -221,7 +222,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_kept", F.coalesce(F.when(F.size("_all") > 0, kept_all), F.array().cast("array<struct<start:int,neg_end:int,priority:int,rule:int,label:string,confidence:double>>")))
     sure = F.coalesce(F.array_max(F.transform("_kept", lambda d: d["confidence"])), F.lit(0.0))
     return df.select(
-        *[F.col(f"`{c}`") for c in kept], "n_words", "n_base", "first_word", "last_word",
+        *[F.col("_row")[c].alias(c) for c in kept], "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("_base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("_base", F.transform("_kept", lambda d: d["label"])))), ",").alias("labels"),
         F.transform("_kept", lambda d: F.struct(d["start"].alias("start"), (-d["neg_end"]).alias("end"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence"))).alias("detections"),
