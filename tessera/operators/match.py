@@ -8,7 +8,7 @@ threshold, by the planner's own decision; clauses are never multiplied by rules
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,8 +28,35 @@ def probe(clauses: DataFrame, rules: DataFrame) -> DataFrame:
     return covered.unionByName(free)
 
 
-def match_rules(clauses: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, clause_no, rule_id, intent, priority, start, end, surface: every match of every rule that may match."""
+#: Rules up to which their patterns become part of the plan, where each is compiled once a task.
+LITERAL_RULES = 200
+
+
+def match_rules(clauses: DataFrame, rules: DataFrame, key: str = "doc_id", literal: int = LITERAL_RULES) -> DataFrame:
+    """key, clause_no, rule_id, intent, priority, start, end, surface: every match of every rule that may match.
+
+    A few rules are written into the plan: a clause is never multiplied or joined. More rules are joined by their covers.
+    """
+    some = rules.where(F.coalesce("enabled", F.lit(True))).select("rule_id", "intent", "priority", "pattern", "cover").limit(literal + 1).collect()
+    if len(some) > literal:
+        return match_rules_joined(clauses, rules, key)
+    worded = clauses.select(key, "clause_no", "start", "clause", F.split(F.lower("clause"), TOKEN_BREAK).alias("_words"))
+
+    def of(r) -> Column:
+        hit = F.col("clause").rlike(r["pattern"])
+        if r["cover"] is not None:
+            hit = F.array_contains("_words", r["cover"]) & hit
+        found = F.transform(spans(F.col("clause"), r["pattern"]), lambda m: F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["intent"]).alias("intent"), F.lit(r["priority"]).alias("priority"), m["start"].alias("from"), m["end"].alias("to"), m["surface"].alias("surface")))
+        return F.when(hit, found)
+
+    if not some:
+        return match_rules_joined(clauses, rules, key)
+    hits = worded.withColumn("m", F.explode(F.flatten(F.array_compact(F.array(*[of(r) for r in some])))))
+    return hits.select(key, "clause_no", "m.rule_id", "m.intent", "m.priority", (F.col("start") + F.col("m.from")).alias("start"), (F.col("start") + F.col("m.to")).alias("end"), F.col("m.surface").alias("surface"))
+
+
+def match_rules_joined(clauses: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same for any number of rules: clauses meet rules by a word of theirs that is a rule's cover."""
     hits = probe(clauses, rules).where(F.regexp_like("clause", F.col("pattern"))).withColumn("m", F.explode(_column_spans("clause", "pattern")))
     return hits.select(key, "clause_no", "rule_id", "intent", "priority", (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"), F.col("m.surface").alias("surface"))
 
