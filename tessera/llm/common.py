@@ -1,4 +1,4 @@
-"""Shared tools of the subpackage: the shared folder, staged tables and vectorised text tokenisation.
+"""Shared tools of the subpackage: staged tables and vectorised text tokenisation.
 
 Text is handled as the UTF-8 bytes of an Arrow batch, cut into slices of a few MB, so that memory is
 bounded whatever the partition holds; one text is never cut.
@@ -6,67 +6,17 @@ bounded whatever the partition holds; one text is never cut.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..lineage import cleanup, fresh_dir, shared_dir, stage  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_staged: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            at = held.get()
-        else:
-            at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            _staged.add(at)
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it goes when the driver ends or cleanup() is called."""
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-{name}"
-    _staged.add(path)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a written table, which survives lost executors and gives the planner real sizes."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cleanup(*paths: str) -> None:
-    """Delete staged tables (all of this session where none is named); results that read them must be done."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths or tuple(_staged):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _staged.discard(path)
-
-
-@atexit.register
-def _at_exit() -> None:
-    try:
-        cleanup()
-    except Exception:  # noqa: BLE001  the JVM may be gone by now
-        pass
 
 
 def batch_rows(spark: SparkSession, rows: int = 2000) -> None:

@@ -35,6 +35,8 @@ from .common import NON_SPACE, Words, batch_rows, fresh_dir, mix, run_hash, slic
 BUCKET = 500_000
 #: Shingles that a task packs at once.
 PACK = 500_000
+#: Rows of an input partition whose shared shingles come back to one group: its memory doesn't follow the size of partitions.
+ROWS = 4096
 #: Bytes of text that a task hashes at once.
 SLICE = 1 << 20
 _U = np.uint64
@@ -121,7 +123,7 @@ def _signed(base: DataFrame, k: int) -> DataFrame:
 
 
 def _shared(base: DataFrame, signed: DataFrame, taken: DataFrame, k: int, buckets: int) -> DataFrame:
-    """src, blobs of (hash, classes that have it, row): the shingles of classes that are not the only one with it. taken: (src, row) of the rows that stand for a class."""
+    """part (input partition and run of its rows), blobs of (hash, classes that have it, row): the shingles of classes that are not the only one with it. taken: (src, row) of the rows that stand for a class."""
     spark = base.sparkSession
     folder = fresh_dir(spark, "rows")
 
@@ -183,14 +185,15 @@ def _shared(base: DataFrame, signed: DataFrame, taken: DataFrame, k: int, bucket
         many = np.repeat(many, many)
         keep = many > 1
         h, o, src, many = h[keep], o[by][keep], src[by][keep], many[keep]
-        by = np.argsort(src, kind="stable")
-        h, o, src, many = h[by], o[by], src[by], many[by].astype(np.uint32)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(src)) + 1, [len(h)]]) if len(h) else np.zeros(1, np.int64)
+        part = (src << 24) + o // ROWS
+        by = np.argsort(part, kind="stable")
+        h, o, part, many = h[by], o[by], part[by], many[by].astype(np.uint32)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(h)]]) if len(h) else np.zeros(1, np.int64)
         spans = list(zip(cut, cut[1:], strict=False))
-        return pa.table({"src": pa.array(src[cut[:-1]] if len(h) else [], pa.int64()), "hashes": pa.array([_sorted_in(h[a:b]) for a, b in spans], pa.binary()), "rows": pa.array([_planes(o[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([_planes(many[a:b]) for a, b in spans], pa.binary())})
+        return pa.table({"part": pa.array(part[cut[:-1]] if len(h) else [], pa.int64()), "hashes": pa.array([_sorted_in(h[a:b]) for a, b in spans], pa.binary()), "rows": pa.array([_planes(o[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([_planes(many[a:b]) for a, b in spans], pa.binary())})
 
     packed = base.mapInArrow(pack, "bucket long, src long, hashes binary, rows binary")
-    return packed.groupBy("bucket").applyInArrow(count, "src long, hashes binary, rows binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(count, "part long, hashes binary, rows binary, counts binary")
 
 
 def _ordered(shared: DataFrame, taken: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +220,8 @@ def _ordered(shared: DataFrame, taken: DataFrame, percent: int) -> DataFrame:
                     out["shingles"].append(_sorted_in(np.sort(h[a:b])))
         return pa.table({x: pa.array(v, pa.binary() if x in ("prefix", "shingles") else pa.int64()) for x, v in out.items()})
 
-    return shared.groupBy("src").cogroup(taken.groupBy("src")).applyInArrow(order, "id long, n long, u long, prefix binary, shingles binary")
+    dealt = taken.withColumn("part", F.shiftleft("src", 24) + F.floor(F.col("row") / ROWS))
+    return shared.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(order, "id long, n long, u long, prefix binary, shingles binary")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
