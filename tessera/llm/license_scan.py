@@ -2,8 +2,8 @@
 
 A text is read as its words (a-z, 0-9 and all that is not ASCII, lower-cased) with one space between. Rules are regular
 expressions over words, made from the names and identifiers in LICENSES and the forms in FORMS. Rule keywords are a
-prefilter: a text without any stem of STEMS is not scanned, and of a scanned text only rules whose keyword it contains
-are run. Every match is an interval of words; one that lies inside the interval of a rule of the same or a better
+prefilter: a text without any stem of STEMS and without the opening of a grant (GRANT) is not scanned, and of a scanned text
+only rules whose keyword it contains are run. Every match is an interval of words; one that lies inside the interval of a rule of the same or a better
 priority is suppressed (equal intervals: the better priority, then the earlier rule stays).
 
 Matches are found, ordered and suppressed inside the row, by array functions; nothing is shuffled.
@@ -16,7 +16,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word stems one of which every rule's match contains; the prefilter of texts.
+#: How a grant opens, in words; its name need not be followed by the word license.
+GRANT = "(?:licensed|released|distributed|published|available|provided|covered)(?: only)? (?:under|by|with)"
+#: Word stems one of which the match of every rule but the grants contains; with GRANT the prefilter of texts.
 STEMS = ("licen", "spdx", "copyright", "domain", "copyleft", "redistribution", "permission", "dedication")
 
 #: label, keyword, name as a regular expression over words, identifiers (SPDX style, as words).
@@ -125,7 +127,7 @@ LICENSES = [
 #: form, priority (smaller is better), confidence, words around the name {n} or the identifier {i}.
 FORMS = [
     ("tag", 1, 1.0, "spdx license identifier {i}"),
-    ("grant", 2, 0.95, "(?:licensed|released|distributed|published|available|provided|covered)(?: only)? (?:under|by|with)(?: the)?(?: terms of)?(?: the)? (?:{n})(?: license| licence)?(?: version [0-9]+(?: [0-9]+)?)?"),
+    ("grant", 2, 0.95, GRANT + "(?: the)?(?: terms of)?(?: the)? (?:{n})(?: license| licence)?(?: version [0-9]+(?: [0-9]+)?)?"),
     ("identifier", 3, 0.9, "(?:licensed under|license|licence)(?: is| type| name)?(?: the)? {i}"),
     ("name", 4, 0.8, "(?:{n})(?: license| licence)"),
 ]
@@ -146,6 +148,9 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for texts that still have capitals.
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Texts that are scanned, before they are cut into words.
+GATE = "(?i)" + "|".join([*STEMS, f"{GRANT} ".replace(" ", _NOT_WORD_ANY_CASE)])
 
 
 def rules() -> list[tuple[int, str, str, int, float, str]]:
@@ -174,7 +179,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "detections", "score"]
     kept = [c for c in docs.columns if c not in new]
     raw = F.col("_t")
-    gate = F.coalesce(raw.rlike("(?i)" + "|".join(STEMS)), F.lit(False))
+    gate = F.coalesce(raw.rlike(GATE), F.lit(False))
     words = F.regexp_replace(F.concat(F.lit(" "), F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" ")), _NOT_WORD, " ")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_t"))
     df = held.select("_row", F.coalesce(F.regexp_count(raw, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"), F.when(gate, words).alias("_w"))

@@ -287,6 +287,47 @@ def test_license_keywords_are_necessary():
         assert key.split()[0] in pattern or key.endswith("licen"), (key, pattern)
 
 
+def examples(pattern):
+    """A text for every alternative of a rule's pattern, with its optional parts and without them."""
+
+    def walk(tree, full):
+        out = [""]
+        for op, value in tree:
+            kind = str(op)
+            if kind == "LITERAL":
+                some = [chr(value)]
+            elif kind == "NOT_LITERAL":
+                some = ["x"]
+            elif kind == "IN":
+                some = ["x"] if str(value[0][0]) == "NEGATE" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+            elif kind == "SUBPATTERN":
+                some = walk(value[3], full)
+            elif kind == "BRANCH":
+                some = [x for b in value[1] for x in walk(b, full)]
+            elif kind == "MAX_REPEAT":
+                times = min(value[1], max(value[0], 1)) if full else value[0]
+                some = walk(value[2], full) if times == 1 else ["".join(x) for x in zip(*[walk(value[2], full)] * times, strict=True)] if times else [""]
+            else:
+                raise AssertionError(kind)
+            out = [a + b for a in out for b in some]
+        return out
+
+    import re._parser as parser
+
+    return sorted({x.strip() for full in (False, True) for x in walk(parser.parse(pattern), full)})
+
+
+def test_license_gate_passes_every_match(spark):
+    every = [(rule, x) for rule in license_scan.rules() for x in examples(rule[5])]
+    assert all(re.search(f"(?<= )(?:{rule[5]})(?= )", f" {x} ") for rule, x in every)
+    assert [x for _, x in every if not re.search(license_scan.GATE, x + " ") and not re.search(license_scan.GATE, x)] == []
+    alone = ["Released under the MIT", "published under CC BY 4.0.", "AVAILABLE\nunder Creative Commons Attribution", "(Distributed only -- under: Apache 2.0)", "covered by zlib", "released by nobody"]
+    got = {x.doc_id: x for x in license_scan.scan(docs_of(spark, list(enumerate(alone)))).collect()}
+    for i, text in enumerate(alone):
+        assert [(d.start, d.end, d.priority, d.rule, d.label) for d in got[i].detections] == brute_detections(text), text
+    assert [got[i]["labels"] for i in range(6)] == ["mit", "cc-by-4.0", "cc-by-4.0", "apache-2.0", "zlib", ""] and got[1].score == 0.95
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
