@@ -21,7 +21,7 @@ GRANT = "(?:licensed|released|distributed|published|available|provided|covered)(
 #: Word stems one of which the match of every rule but the grants contains; with GRANT the prefilter of texts.
 STEMS = ("licen", "spdx", "copyright", "domain", "copyleft", "redistribution", "permission", "dedication")
 
-#: label, keyword, name as a regular expression over words, identifiers (SPDX style, as words).
+#: label, keywords (every alternative of the name holds one), name as a regular expression over words, identifiers (SPDX style, as words).
 LICENSES = [
     ("mit", "mit", "(?:the )?mit(?: x11| expat)?", "mit"),
     ("mit-0", "mit", "mit no attribution", "mit 0"),
@@ -42,7 +42,7 @@ LICENSES = [
     ("agpl-3.0", "affero", "(?:gnu )?affero general public license(?: version)? v?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
     ("agpl", "affero", "(?:gnu )?affero general public", "agpl"),
     ("gfdl", "documentation", "(?:gnu )?free documentation", "gfdl(?: 1 [123])?(?: only| or later)?"),
-    ("bsd-2-clause", "bsd", "(?:2|two) clause bsd|simplified bsd|freebsd", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd freebsd", "(?:2|two) clause bsd|simplified bsd|freebsd", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:3|three) clause bsd|new bsd|modified bsd|revised bsd", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:4|four) clause bsd|original bsd|old bsd", "bsd 4 clause"),
     ("0bsd", "bsd", "zero clause bsd|bsd zero clause", "0bsd"),
@@ -91,8 +91,8 @@ LICENSES = [
     ("libpng", "libpng", "libpng", "libpng"),
     ("boost-1.0", "boost", "boost software(?: license)?(?: version)?(?: 1 0)?", "bsl 1 0"),
     ("unlicense", "unlicen", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtf", "wtf public|do what the fuck you want to public", "wtfpl"),
-    ("python-2.0", "python", "python software foundation|psf", "python 2 0"),
+    ("wtfpl", "wtf fuck", "wtf public|do what the fuck you want to public", "wtfpl"),
+    ("python-2.0", "python psf", "python software foundation|psf", "python 2 0"),
     ("ruby", "ruby", "ruby", "ruby"),
     ("perl", "perl", "perl", "perl"),
     ("php-3.01", "php", "php(?: license)?(?: version)?(?: 3 0 ?1?)?", "php 3 0 ?1?"),
@@ -119,7 +119,7 @@ LICENSES = [
     ("qpl", "q", "q public", "qpl 1 0"),
     ("sleepycat", "sleepycat", "sleepycat", "sleepycat"),
     ("vim", "vim", "vim", "vim"),
-    ("beerware", "beer", "beer ?ware", "beerware"),
+    ("beerware", "beer beerware", "beer ?ware", "beerware"),
     ("hippocratic", "hippocratic", "hippocratic", "hippocratic 2 1"),
     ("cecill-2.1", "cecill", "cecill(?: free software)?", "cecill 2 1"),
 ]
@@ -154,12 +154,17 @@ GATE = "(?i)" + "|".join([*STEMS, f"{GRANT} ".replace(" ", _NOT_WORD_ANY_CASE)])
 
 
 def rules() -> list[tuple[int, str, str, int, float, str]]:
-    """(number, label, keyword, priority, confidence, pattern over words), in order. A keyword is a whole word of every match; those that end in licen are beginnings of one."""
+    """(number, label, keyword, priority, confidence, pattern over words), in order. Every match contains one of the keywords (with spaces between) as a whole word; those that end in licen are beginnings of one."""
     keyed = {"tag": lambda key, ids: "spdx", "identifier": lambda key, ids: re.split("[^a-z0-9]", ids)[0]}
     made = [(label, keyed.get(form, lambda key, ids: key)(key, ids), priority, sure, pattern.format(n=name, i=f"(?:{ids})")) for form, priority, sure, pattern in FORMS for label, key, name, ids in LICENSES]
     return [(i, *x) for i, x in enumerate([*made, *GENERIC])]
 
 
+def needles(keyword: str) -> list[str]:
+    """What a text (words with one space between and around) must contain one of for a rule to be run."""
+    return [f" {key}" if key.endswith("licen") else f" {key} " for key in keyword.split()]
+
+
 def _whole(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
@@ -196,7 +201,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_base", F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for label, n in found.items()])))
 
     # only literal structs: the planner folds them into one constant array
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(f" {key}" if key.endswith("licen") else f" {key} ").alias("key"), F.lit(priority).alias("priority"), F.lit(sure).alias("confidence"), F.lit(_whole(pattern)).alias("pattern")) for i, label, key, priority, sure, pattern in rules()])
+    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.array(*[F.lit(x) for x in needles(key)]).alias("keys"), F.lit(priority).alias("priority"), F.lit(sure).alias("confidence"), F.lit(_whole(pattern)).alias("pattern")) for i, label, key, priority, sure, pattern in rules()])
 
     def matches(r: Column) -> Column:
         pieces = F.split(F.col("_w"), r["pattern"], -1)
@@ -211,7 +216,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         # `at`: spaces before the piece; the last piece has no match
         return F.aggregate(F.filter(pairs, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
 
-    candidates = F.filter(table, lambda r: F.contains(F.col("_w"), r["key"]))
+    candidates = F.filter(table, lambda r: F.exists(r["keys"], lambda key: F.contains(F.col("_w"), key)))
     df = df.withColumn("_all", F.when(F.col("_w").isNotNull(), F.array_sort(F.flatten(F.transform(candidates, matches)))))
 
     levels = max(p for _, _, _, p, _, _ in rules())

@@ -328,6 +328,16 @@ def test_license_gate_passes_every_match(spark):
     assert [got[i]["labels"] for i in range(6)] == ["mit", "cc-by-4.0", "cc-by-4.0", "apache-2.0", "zlib", ""] and got[1].score == 0.95
 
 
+def test_license_keywords_pass_every_alternative(spark):
+    lost = [(rule[1], x) for rule in license_scan.rules() for x in examples(rule[5]) if not any(key in f" {x} " for key in license_scan.needles(rule[2]))]
+    assert lost == []
+    alone = ["FreeBSD license", "PSF License", "do what the fuck you want to public license", "beerware license", "beer ware licence", "licensed under the freebsd"]
+    got = {x.doc_id: x for x in license_scan.scan(docs_of(spark, list(enumerate(alone)))).collect()}
+    for i, text in enumerate(alone):
+        assert [(d.start, d.end, d.priority, d.rule, d.label) for d in got[i].detections] == brute_detections(text), text
+    assert [got[i]["labels"] for i in range(6)] == ["bsd-2-clause", "python-2.0", "wtfpl", "beerware", "beerware", "bsd-2-clause"]
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
