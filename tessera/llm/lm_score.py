@@ -7,8 +7,9 @@ a rectified hidden layer, a softmax over the classes. The probability of a word
 share of the class's count (words outside the vocabulary share theirs evenly). A document's score is the sum of the log-probabilities
 of all its words, each predicted from both sides.
 
-Training is data-parallel: in each round every task masks one place in MASK of all its documents, takes gradient steps from
-the common weights, and hands back its weights; these are averaged by places trained, in two levels, so that the driver
+Training is data-parallel: each document's places are dealt to MASK masks (place modulo MASK) and the masks to the rounds, so
+that all rounds together train on every place of every document once. In each round every task takes gradient steps on its
+places from the common weights, and hands back its weights; these are averaged by places trained, in two levels, so that the driver
 gets the square root of the number of tasks. What is gathered (word counts, places, weights) follows the corpus. Sums
 depend on how rows are dealt to tasks, so that scores of runs over another partitioning differ a little.
 """
@@ -152,15 +153,21 @@ def descend(theta: np.ndarray, squares: np.ndarray, context: np.ndarray, target:
     p /= n
     gh = (p @ u.T) * (h > 0)
     gx = (gh @ w.T).reshape(-1, EMBEDDING)
-    grad = np.zeros_like(theta)
-    ge, gw, gb, gu, gc = _views(grad)
-    np.add.at(ge, context.reshape(-1), gx)
-    gw += x.T @ gh
-    gb += gh.sum(0)
-    gu += h.T @ p
-    gc += p.sum(0)
-    squares += grad * grad
-    theta -= RATE * grad / (np.sqrt(squares) + 1e-6)
+    # embeddings without a gradient stay as they are
+    flat = context.reshape(-1)
+    by = np.argsort(flat, kind="stable")
+    rows = flat[by]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    rows = rows[first]
+    ge = np.add.reduceat(gx[by], first)
+    se, *_ = _views(squares)
+    new = se[rows] + ge * ge
+    se[rows] = new
+    e[rows] -= RATE * ge / (np.sqrt(new) + 1e-6)
+    grad = np.concatenate([(x.T @ gh).reshape(-1), gh.sum(0), (h.T @ p).reshape(-1), p.sum(0)])
+    rest = squares[e.size :]
+    rest += grad * grad
+    theta[e.size :] -= RATE * grad / (np.sqrt(rest) + 1e-6)
 
 
 def log_probabilities(theta: np.ndarray, places: Places, tables: list[np.ndarray] | None = None) -> np.ndarray:
@@ -181,8 +188,16 @@ def log_probabilities(theta: np.ndarray, places: Places, tables: list[np.ndarray
     return out + places.log_share
 
 
+def masks(places: Places, turn: int, turns: int) -> np.ndarray:
+    """The places that a round trains on, mask by mask: those whose number in their document, modulo MASK, is turn modulo turns."""
+    mask = (np.arange(len(places.at)) - np.repeat(places.bounds[:-1], places.counts)) % MASK
+    mine = np.flatnonzero(mask % turns == turn)
+    return mine[np.argsort(mask[mine], kind="stable")]
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights averaged over all tasks, round by round."""
+    """Weights averaged over all tasks, round by round; at most MASK rounds have places of their own, later ones start over."""
+    turns = min(rounds, MASK)
     spark = docs.sparkSession
     theta = initial(v)
     known = spark.sparkContext.broadcast(v)
@@ -196,7 +211,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
             for batch in batches:
                 for _, data, offsets in slices(batch):
                     places = Places(data, offsets, known.value)
-                    masked = np.arange((turn * MASK // rounds) % MASK, len(places.at), MASK)
+                    masked = masks(places, turn % turns, turns)
                     for begin in range(0, len(masked), BATCH):
                         some = masked[begin : begin + BATCH]
                         descend(weights, squares, places.around(places.at[some]), places.target[some])

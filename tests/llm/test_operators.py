@@ -460,6 +460,45 @@ def test_lm_counts_every_word(spark):
     assert lm_score.score(docs_of(spark, [(1, "x")]), v, lm_score.train(docs_of(spark, []), v)).first().n_tokens == 1
 
 
+def test_lm_trains_on_every_place(spark):
+    rows = [(1, "a"), (2, None), (3, " ".join(f"w{i}" for i in range(50))), (4, "b c"), (5, ""), (6, " ".join(f"v{i}" for i in range(16)))]
+    texts = [x or "" for _, x in rows]
+    v = lm_score.vocabulary(docs_of(spark, rows))
+    places = lm_score.Places(*utf8(pa.array(texts)), v)
+    for rounds in (1, 2, 4, 5, lm_score.MASK):
+        dealt = [lm_score.masks(places, turn, rounds) for turn in range(rounds)]
+        assert sorted(np.concatenate(dealt).tolist()) == list(range(50 + 16 + 3))
+    # a document's places do not depend on what stands before it
+    own = lm_score.Places(*utf8(pa.array(texts[2:3])), v)
+    assert [x - 1 for x in lm_score.masks(places, 1, 2).tolist() if 1 <= x < 51] == lm_score.masks(own, 1, 2).tolist()
+
+
+def test_lm_step_is_dense_adagrad():
+    r = np.random.default_rng(5)
+    v = lm_score.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), 0.0, np.zeros(lm_score.CLASSES + 1))
+    theta = lm_score.initial(v).astype(np.float64)
+    context, target = r.integers(0, 50, (20, 2 * lm_score.SIDE)), r.integers(0, lm_score.CLASSES, 20)
+    e, w, b, u, c = lm_score._views(theta)
+    x = e[context].reshape(20, -1)
+    h = np.maximum(x @ w + b, 0)
+    p = np.exp(h @ u + c)
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(20), target] -= 1
+    p /= 20
+    gh = (p @ u.T) * (h > 0)
+    grad = np.zeros_like(theta)
+    ge, gw, gb, gu, gc = lm_score._views(grad)
+    np.add.at(ge, context.reshape(-1), (gh @ w.T).reshape(-1, lm_score.EMBEDDING))
+    gw += x.T @ gh
+    gb += gh.sum(0)
+    gu += h.T @ p
+    gc += p.sum(0)
+    squares = 1e-3 + grad * grad
+    want = theta - lm_score.RATE * grad / (np.sqrt(squares) + 1e-6)
+    lm_score.descend(theta, got := np.full_like(theta, 1e-3), context, target)
+    assert np.allclose(theta, want, atol=1e-12) and np.allclose(got, squares, atol=1e-12)
+
+
 def test_lm_gradient():
     r = np.random.default_rng(0)
     v = lm_score.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), 0.0, np.zeros(lm_score.CLASSES + 1))
