@@ -26,8 +26,10 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5. The classifier is fitted on the labelled rows of docs that op7 may learn from; null and empty texts stay."""
+    """Documents whose toxicity score is below 0.5. The classifier is fitted on the labelled rows of docs that op7 may learn from; null and empty texts stay, and all do where nothing could be learnt."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.LEARN)
+    if not model[0].any():  # nothing could be learnt: one score for all
+        return docs
     return unpacked(toxicity.score(packed(docs), *model).where("predicted = 0"), docs.columns)
 
 

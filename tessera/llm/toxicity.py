@@ -119,8 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, where=None) -> tuple[np.ndarray, f
     held = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").distinct()
     rows, room = [], MAX_LABELLED_BYTES
     for row in held.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "toxic").limit(MAX_LABELLED).toLocalIterator():
-        room -= len(row["text"].encode())
-        if room >= 0:
+        size = len(row["text"].encode())
+        if size <= room:
+            room -= size
             rows.append((row["text"], row["toxic"]))
     return fit([x for x, _ in rows], np.array([y for _, y in rows]))
 

@@ -386,6 +386,20 @@ def test_toxicity_learns(spark):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got.values()) and got[1000].score == got[1001].score
 
 
+def test_toxicity_leaves_out_only_what_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LABELLED_BYTES", 1000)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: (sorted(texts), 0.0))
+    docs = docs_of(spark, [(i, "x" * 2000 if i < 20 else f"text {i}") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels)[0] == sorted(f"text {i}" for i in range(20, 40))
+    # nothing learnt: the stage keeps every document
+    import corpus_pipeline
+
+    monkeypatch.setattr(toxicity, "train", lambda *_: (np.zeros(1 << toxicity.BITS), 0.0))
+    monkeypatch.setattr(spark.read.__class__, "parquet", lambda *_: labels)
+    assert corpus_pipeline.drop_toxic(spark, docs, "").count() == 40
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "a")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
