@@ -1,17 +1,18 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-Words are a-z, 0-9 and all that is not ASCII, lower-cased. Counts of every word of every document give the VOCABULARY
-most frequent words (by count, then hash), dealt to CLASSES of near equal mass; all other words are one more class. A
-network reads the SIDE words before and after a place, never the word itself: their embeddings, one matrix for each offset,
-a rectified hidden layer, a softmax over the classes. The probability of a word is that of its class in this context times its
-share of the class's count (words outside the vocabulary share theirs evenly). A document's score is the sum of the log-probabilities
-of all its words, each predicted from both sides.
-
-Training is data-parallel: each document's places are dealt to MASK masks (place modulo MASK) and the masks to the rounds, so
-that all rounds together train on every place of every document once. In each round every task takes gradient steps on its
-places from the common weights, and hands back its weights; these are averaged by places trained, in two levels, so that the driver
-gets the square root of the number of tasks. What is gathered (word counts, places, weights) follows the corpus. Sums
-depend on how rows are dealt to tasks, so that scores of runs over another partitioning differ a little.
+Words are a-z, 0-9 and all that is not ASCII, lower-cased; every word of every document is counted. The NETWORK most frequent
+words are dealt to classes of words that occur beside like neighbours (counted over the whole corpus), all other words are one
+class more. A network reads the SIDE words before and after a place, never the word itself: a row for each word and offset,
+summed and rectified, then two softmaxes, one over the classes and one over the words of the class, both from the same
+context. A word outside the network has its share of the counts of such words, whichever it is: frequent ones from a table
+of bounded size that all tasks hold, all others by a join with the counts of the corpus. A document's score is the sum of the
+log-probabilities of all its words, each predicted from both sides.
+
+Training is data-parallel: the places of each document are dealt to ROUNDS masks (place modulo ROUNDS), so that all rounds
+together train on every place of every document once. In a round every task takes gradient steps on its places from the common
+weights and hands back its weights; they are averaged by places trained, FAN at a time, so that no task holds more
+than FAN of them and the driver one. What is gathered (counts, neighbours, weights) follows the corpus. Averages depend on how
+rows are dealt to tasks, so that scores of runs over another partitioning differ a little.
 """
 
 from __future__ import annotations
@@ -22,53 +23,88 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, batch_rows, slices
+from .common import ALNUM, Words, batch_rows, slices, stage
 
-VOCABULARY = 32_768
-CLASSES = 128
+#: Classes, and words of each, that the network predicts.
+CLASSES, PER_CLASS = 96, 96
+NETWORK = CLASSES * PER_CLASS
+#: Words whose counts every task holds; those of all others are joined.
+KNOWN = 262_144
 SIDE = 3
-#: Context words with an embedding of their own; the others share HASHED rows.
-OWN = 4096
-HASHED = 1024
-EMBEDDING, HIDDEN = 16, 32
-MASK = 16
-ROUNDS = 2
-BATCH = 512
-RATE = 0.08
+#: Context words with rows of their own; the others share HASHED rows.
+OWN, HASHED = 4096, 1024
+HIDDEN = 16
+ROUNDS = 4
+#: Places of a gradient step at most; so many steps for a slice of texts at least, if it has 256 places for each.
+BATCH, STEPS = 16384, 8
+RATE = 0.6
+#: Weights that are averaged by one task.
+FAN = 16
 #: Distinct words that a task counts at once.
 HELD_WORDS = 1_000_000
+#: Buckets of neighbours on each side by which words are dealt to classes: so many most frequent words, and hashes of the others.
+NEAR, FAR = 32, 16
 _PAD = OWN + HASHED
-_SHAPES = [(_PAD + 1, EMBEDDING), (2 * SIDE * EMBEDDING, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES + 1), (CLASSES + 1,)]
+_OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
+_SHAPES = [(2 * SIDE, _PAD + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES + 1), (CLASSES + 1,), (CLASSES, PER_CLASS, HIDDEN), (CLASSES, PER_CLASS)]
+
+
+class Table:
+    """Numbers of 64-bit hashes: open addressing, looked up a whole array at a time."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.bits = max(8, int(len(hashes)).bit_length() + 2)
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        at, left = self._slot(hashes), np.arange(len(hashes))
+        while len(left):
+            free = self.numbers[at[left]] < 0
+            place, first = np.unique(at[left[free]], return_index=True)
+            taken = left[free][first]
+            self.keys[place], self.numbers[place] = hashes[taken], taken
+            left = np.setdiff1d(left, taken, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it has none."""
+        at = self._slot(hashes)
+        out = self.numbers[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != hashes))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            out[open_] = self.numbers[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[at[open_]] != hashes[open_])]
+        return out
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the frequent words with their class, share of it and input row; and what all others have."""
-
-    hashes: np.ndarray
-    word_class: np.ndarray
-    log_share: np.ndarray
-    row: np.ndarray
-    rare_log_share: float
-    log_prior: np.ndarray
-
-    def read(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, log share within it, input row) of words."""
-        if not len(self.hashes):
-            return np.full(len(h), CLASSES, np.int32), np.full(len(h), self.rare_log_share), (OWN + (h % np.uint64(HASHED))).astype(np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        rare = (OWN + (h % np.uint64(HASHED))).astype(np.int32)
-        row = self.row[at]
-        return np.where(known, self.word_class[at], CLASSES).astype(np.int32), np.where(known, self.log_share[at], self.rare_log_share), np.where(known & (row >= 0), row, rare)
+    """Words by rank (most frequent first). place: class * PER_CLASS + number in the class of the first NETWORK ranks."""
+
+    table: Table
+    counts: np.ndarray
+    rare_mass: int
+    place: np.ndarray
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Rank, or KNOWN + hash modulo HASHED for words whose counts must be joined."""
+        rank = self.table.find(hashes)
+        return np.where(rank >= 0, rank, KNOWN + (hashes % np.uint64(HASHED)).astype(np.int32))
+
+
+def context_rows(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < OWN, ids, OWN + ids % HASHED).astype(np.int32)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word (64-bit hash as long), n: of all words of all texts."""
+    """word (64-bit hash as long), n: of all words of all texts. Null and empty texts have none; no rows give no rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -90,32 +126,116 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    counts = count_words(docs)
-    # one job: the frequent words carry the totals of all
-    total = counts.agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.max_by(F.lit(1), "n")).select("words", "n")
-    top = counts.orderBy(F.desc("n"), "word").limit(size).toPandas()  # bounded by the vocabulary
-    distinct, mass = total.first()
-    mass = int(mass or 0)
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
-    n = top["n"].to_numpy(np.int64)
-    # equal mass: the class of a word is where its count ends, in order of frequency
-    word_class = np.minimum(((np.cumsum(n) - n / 2) * CLASSES / max(1, n.sum())).astype(np.int64), CLASSES - 1) if len(n) else np.zeros(0, np.int64)
-    in_class = np.bincount(word_class, weights=n, minlength=CLASSES) if len(n) else np.zeros(CLASSES)
-    rare = max(mass - int(n.sum()), 0)
-    prior = np.append(in_class, rare) + 1.0
-    by = np.argsort(hashes)
-    row = np.where(np.arange(len(n)) < OWN, np.arange(len(n)), -1)
-    return Vocabulary(hashes[by], word_class[by].astype(np.int32), np.log(n / np.maximum(in_class[word_class], 1))[by] if len(n) else np.zeros(0), row[by].astype(np.int32), -float(np.log(max(1, int(distinct or 0) - len(n)))), np.log(prior / prior.sum()))
+def _bin(n: Column) -> Column:
+    """Bins of counts: their own up to 4096, then 64 for each doubling."""
+    return F.when(n < 4096, n).otherwise(4096 + F.floor(F.log2(n / 4096) * 64)).cast("long")
+
+
+def known_words(counts: DataFrame, size: int = KNOWN) -> tuple[Vocabulary, int]:
+    """Words of the highest bins of counts that have at most `size` together, and the lowest of these bins. Their classes are not dealt yet.
+
+    counts: word, n. Words of a bin are all in or all out. An empty table gives an empty vocabulary.
+    """
+    bins = counts.groupBy(_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # some thousands, whatever the corpus
+    least, held = (bins[0]["bin"] + 1 if bins else 1), 0
+    for row in bins:
+        held += row["words"]
+        if held > size:
+            break
+        least = row["bin"]
+    top = counts.where(_bin(F.col("n")) >= least).toArrow()  # at most `size` rows
+    hashes, n = top.column("word").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+    by = np.lexsort((hashes, -n))
+    hashes, n = hashes[by], n[by]
+    return Vocabulary(Table(hashes), n, max(1, sum(r["n"] for r in bins) - int(n[:NETWORK].sum())), np.arange(min(NETWORK, len(n)))), least
+
+
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """lens, ids: 32-bit numbers of some texts' words and how many each text has."""
+    known = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in slices(batch, size=4 << 20):
+                w = Words(data, offsets, ALNUM)
+                ids = known.value.ids(w.hashes).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w.counts.astype("<i4"), ids)], ["lens", "ids"])
+
+    return docs.select("text").mapInArrow(run, "lens binary, ids binary")
+
+
+def summed(tasks: DataFrame, parts: int) -> tuple[int, np.ndarray] | None:
+    """Of (part, n, values as doubles or floats in bytes): the sum of n and of n * values / sum of n, FAN parts at a time. None without any n."""
+
+    def mean(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("n").to_pylist(), table.column("values").to_pylist(), strict=True))
+        n = sum(k for _, k, _ in rows)
+        total = None
+        for _, k, raw in rows:
+            x = np.frombuffer(raw, np.float32) * np.float64(k / max(1, n))
+            total = x if total is None else total + x
+        return pa.table({"part": [rows[0][0] // FAN], "n": [n], "values": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    while True:
+        tasks = tasks.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(mean, "part long, n long, values binary")
+        parts = -(-parts // FAN)
+        if parts <= 1:
+            break
+    found = tasks.collect()  # one row
+    if not found or not found[0]["n"]:
+        return None
+    return found[0]["n"], np.frombuffer(found[0]["values"], np.float32)
+
+
+def deal_classes(v: Vocabulary, encoded: DataFrame, parts: int) -> Vocabulary:
+    """Deals the network's words to classes of PER_CLASS by the words beside them: halves along the first principal direction, again and again."""
+    size, wide = len(v.place), 2 * (NEAR + FAR)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * wide)
+        for batch in batches:
+            for lens, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lens, ids = np.frombuffer(lens, "<i4"), np.frombuffer(ids, "<i4")
+                bucket = np.where(ids < NEAR, ids, NEAR + ids % FAR)
+                of = np.repeat(np.arange(len(lens)), lens)
+                beside = of[1:] == of[:-1]
+                for target, other, side in ((ids[:-1], bucket[1:], 0), (ids[1:], bucket[:-1], NEAR + FAR)):
+                    keep = beside & (target < size)
+                    total += np.bincount(target[keep].astype(np.int64) * wide + other[keep] + side, minlength=size * wide)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([1]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "n", "values"])
+
+    found = summed(encoded.mapInArrow(near, "part long, n long, values binary"), parts) if size else None
+    place = np.arange(size)
+    if found is not None:
+        x = np.sqrt(found[1].reshape(size, wide).astype(np.float64))
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        todo = [(np.arange(size), 0, -(-size // PER_CLASS))]
+        while todo:
+            words, first, classes = todo.pop()
+            if classes == 1:
+                place[words] = first * PER_CLASS + np.arange(len(words))
+                continue
+            y = x[words] - x[words].mean(0)
+            direction = np.linalg.svd(y.T @ y)[0][:, 0]
+            direction *= 1 if direction[np.abs(direction).argmax()] > 0 else -1
+            half = classes // 2
+            ordered = words[np.lexsort((words, np.round(y @ direction, 6)))]
+            todo += [(ordered[: half * PER_CLASS], first, half), (ordered[half * PER_CLASS :], first + half, classes - half)]
+    return Vocabulary(v.table, v.counts, v.rare_mass, place)
 
 
 def initial(v: Vocabulary, seed: int = 11) -> np.ndarray:
+    """Small random rows; the two softmaxes start at the counts."""
     r = np.random.default_rng(seed)
-    parts = [r.normal(0, 0.3, _SHAPES[0]), r.normal(0, 0.1, _SHAPES[1]), np.full(_SHAPES[2], 0.1), r.normal(0, 0.1, _SHAPES[3]), v.log_prior]
+    n = np.zeros(NETWORK)
+    n[v.place] = v.counts[: len(v.place)]
+    in_class = n.reshape(CLASSES, PER_CLASS)
+    mass = np.append(in_class.sum(1), v.rare_mass)
+    parts = [r.normal(0, 0.1, _SHAPES[0]), np.full(_SHAPES[1], 0.1), r.normal(0, 0.1, _SHAPES[2]), np.log((mass + 1e-6) / mass.sum()), r.normal(0, 0.1, _SHAPES[4]), np.log((in_class + 1e-6) / np.maximum(in_class.sum(1, keepdims=True), 1))]
     return np.concatenate([x.reshape(-1) for x in parts]).astype(np.float32)
 
 
-def _views(theta: np.ndarray) -> list[np.ndarray]:
+def views(theta: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
     for shape in _SHAPES:
         n = int(np.prod(shape))
@@ -125,143 +245,197 @@ def _views(theta: np.ndarray) -> list[np.ndarray]:
 
 
 class Places:
-    """The words of some texts as ids, with the ids around each."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> None:
-        words = Words(data, offsets, ALNUM)
-        self.counts, self.bounds = words.counts, words.bounds
-        self.target, self.log_share, row = v.read(words.hashes)
-        self.padded = np.full(len(row) + SIDE * (len(words.counts) + 1), _PAD, np.int32)
-        self.at = np.arange(len(row)) + SIDE * (words.of + 1)
-        self.padded[self.at] = row
-
-    def around(self, at: np.ndarray) -> np.ndarray:
-        return np.stack([self.padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
-
-
-def descend(theta: np.ndarray, squares: np.ndarray, context: np.ndarray, target: np.ndarray) -> None:
+    """The words of some texts, with the context rows around each, and their class and number in it (class CLASSES: not of the network)."""
+
+    def __init__(self, ids: np.ndarray, lens: np.ndarray, v: Vocabulary) -> None:
+        of = np.repeat(np.arange(len(lens)), lens)
+        self.padded = np.full(len(ids) + SIDE * (len(lens) + 1), _PAD, np.int32)
+        self.at = np.arange(len(ids)) + SIDE * (of + 1)
+        self.padded[self.at] = context_rows(ids)
+        self.number = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)  # in its document
+        place = np.full(len(ids), NETWORK)
+        inside = ids < len(v.place)
+        place[inside] = v.place[ids[inside]]
+        self.word_class, self.word = (place // PER_CLASS).astype(np.uint8), place % PER_CLASS
+
+
+def hidden(theta: list[np.ndarray], places: Places, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rectified layer, context rows at each offset) of places."""
+    e, b, *_ = theta
+    at = places.at[at]
+    around = [places.padded[at + d] for d in _OFFSETS]
+    h = np.take(e[0], around[0], axis=0)
+    for j in range(1, 2 * SIDE):
+        h += np.take(e[j], around[j], axis=0)
+    h += b
+    return np.maximum(h, 0, out=h), around
+
+
+def descend(theta: np.ndarray, squares: np.ndarray, places: Places, at: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on masked places, in place."""
-    e, w, b, u, c = _views(theta)
-    n = len(target)
-    x = e[context].reshape(n, -1)
-    h = np.maximum(x @ w + b, 0)
+    at = at[np.argsort(places.word_class[at], kind="stable")]
+    parts, sums = views(theta), views(squares)
+    e, b, u, c, w, d = parts
+    n = len(at)
+    of, word = places.word_class[at], places.word[at]
+    h, around = hidden(parts, places, at)
     z = h @ u + c
     z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(n), target] -= 1
-    p /= n
-    gh = (p @ u.T) * (h > 0)
-    gx = (gh @ w.T).reshape(-1, EMBEDDING)
-    # embeddings without a gradient stay as they are
-    flat = context.reshape(-1)
-    by = np.argsort(flat, kind="stable")
-    rows = flat[by]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    rows = rows[first]
-    ge = np.add.reduceat(gx[by], first)
-    se, *_ = _views(squares)
-    new = se[rows] + ge * ge
-    se[rows] = new
-    e[rows] -= RATE * ge / (np.sqrt(new) + 1e-6)
-    grad = np.concatenate([(x.T @ gh).reshape(-1), gh.sum(0), (h.T @ p).reshape(-1), p.sum(0)])
-    rest = squares[e.size :]
-    rest += grad * grad
-    theta[e.size :] -= RATE * grad / (np.sqrt(rest) + 1e-6)
-
-
-def log_probabilities(theta: np.ndarray, places: Places, tables: list[np.ndarray] | None = None) -> np.ndarray:
-    """Of every word from both sides."""
-    e, w, b, u, c = _views(theta)
-    tables = tables or [np.ascontiguousarray(e @ w[j * EMBEDDING : (j + 1) * EMBEDDING]) for j in range(2 * SIDE)]
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(n), of] -= 1
+    gh = z @ u.T
+
+    def step(x: np.ndarray, s: np.ndarray, g: np.ndarray, rows=...) -> None:
+        g = g / n
+        new = s[rows] + g * g
+        s[rows] = new
+        x[rows] -= rate * g / (np.sqrt(new) + 1e-6)
+
+    gu, gc = h.T @ z, z.sum(0)
+    edge = np.searchsorted(of, np.arange(CLASSES + 1))
+    for k in np.unique(of).tolist():
+        if k == CLASSES:
+            continue
+        some = slice(edge[k], edge[k + 1])
+        p = h[some] @ w[k].T + d[k]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(p)), word[some]] -= 1
+        gh[some] += p @ w[k]
+        step(w[k], sums[4][k], p.T @ h[some])
+        step(d[k], sums[5][k], p.sum(0))
+    gh *= h > 0
+    for j in range(2 * SIDE):
+        order = np.argsort(around[j].astype(np.uint16), kind="stable")
+        rows = around[j][order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        step(e[j], sums[0][j], np.add.reduceat(gh[order], first), rows[first])
+    step(b, sums[1], gh.sum(0))
+    step(u, sums[2], gu)
+    step(c, sums[3], gc)
+
+
+def log_probabilities(theta: np.ndarray, places: Places) -> np.ndarray:
+    """Of every word from both sides; for one outside the network, of that class as a whole."""
+    parts = views(theta)
+    _, _, u, c, w, d = parts
     out = np.empty(len(places.at))
-    for begin in range(0, len(out), 8192):
-        at = places.at[begin : begin + 8192]
-        h = np.tile(b, (len(at), 1))
-        for table, d in zip(tables, (*range(-SIDE, 0), *range(1, SIDE + 1)), strict=True):
-            h += table[places.padded[at + d]]
-        np.maximum(h, 0, out=h)
+    for begin in range(0, len(out), BATCH):
+        at = np.arange(begin, min(begin + BATCH, len(out)))
+        at = at[np.argsort(places.word_class[at], kind="stable")]
+        of, word = places.word_class[at], places.word[at]
+        h, _ = hidden(parts, places, at)
         z = h @ u + c
         z -= z.max(1, keepdims=True)
-        hit = z[np.arange(len(at)), places.target[begin : begin + 8192]]
-        out[begin : begin + 8192] = hit - np.log(np.exp(z, out=z).sum(1))
-    return out + places.log_share
-
-
-def masks(places: Places, turn: int, turns: int) -> np.ndarray:
-    """The places that a round trains on, mask by mask: those whose number in their document, modulo MASK, is turn modulo turns."""
-    mask = (np.arange(len(places.at)) - np.repeat(places.bounds[:-1], places.counts)) % MASK
-    mine = np.flatnonzero(mask % turns == turn)
-    return mine[np.argsort(mask[mine], kind="stable")]
+        hit = z[np.arange(len(at)), of]
+        found = hit - np.log(np.exp(z, out=z).sum(1))
+        edge = np.searchsorted(of, np.arange(CLASSES + 1))
+        for k in np.unique(of).tolist():
+            if k < CLASSES:
+                some = slice(edge[k], edge[k + 1])
+                p = h[some] @ w[k].T + d[k]
+                p -= p.max(1, keepdims=True)
+                hit = p[np.arange(len(p)), word[some]]
+                found[some] += hit - np.log(np.exp(p, out=p).sum(1))
+        out[at] = found
+    return out
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights averaged over all tasks, round by round; at most MASK rounds have places of their own, later ones start over."""
-    turns = min(rounds, MASK)
-    spark = docs.sparkSession
+def train(encoded: DataFrame, v: Vocabulary, parts: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights averaged over all tasks, round by round; all rounds together take every place once. Without places they are the initial ones."""
+    spark = encoded.sparkSession
     theta = initial(v)
     known = spark.sparkContext.broadcast(v)
-    groups = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(theta)
+        rate = RATE / (1 + turn) ** 0.5
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = start.value.copy()
-            squares, done = np.full_like(weights, 1e-3), 0
+            squares, done = np.full_like(weights, 1e-4), 0
+            r = np.random.default_rng(turn)
             for batch in batches:
-                for _, data, offsets in slices(batch):
-                    places = Places(data, offsets, known.value)
-                    masked = masks(places, turn % turns, turns)
-                    for begin in range(0, len(masked), BATCH):
-                        some = masked[begin : begin + BATCH]
-                        descend(weights, squares, places.around(places.at[some]), places.target[some])
+                for lens, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    places = Places(np.frombuffer(ids, "<i4"), np.frombuffer(lens, "<i4"), known.value)
+                    masked = r.permutation(np.flatnonzero(places.number % rounds == turn))
+                    for some in np.array_split(masked, max(-(-len(masked) // BATCH), min(STEPS, -(-len(masked) // 256)))) if len(masked) else ():
+                        descend(weights, squares, places, some, rate)
                     done += len(masked)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups]), pa.array([done]), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "weights"])
-
-        def mean(table: pa.Table) -> pa.Table:
-            n = table.column("n").to_numpy()
-            total = sum((np.frombuffer(w, np.float32) * float(k) for w, k in sorted(zip(table.column("weights").to_pylist(), n.tolist(), strict=True))), np.zeros(len(theta)))
-            return pa.table({"n": [int(n.sum())], "weights": pa.array([(total / max(1, n.sum())).astype(np.float32).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([done]), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "values"])
 
-        back = docs.select("text").mapInArrow(local, "part long, n long, weights binary").groupBy("part").applyInArrow(mean, "n long, weights binary").collect()
-        places = sum(r["n"] for r in back)
-        if places:
-            theta = sum(np.frombuffer(r["weights"], np.float32) * np.float64(r["n"] / places) for r in sorted(back, key=lambda r: bytes(r["weights"]))).astype(np.float32)
+        found = summed(encoded.mapInArrow(local, "part long, n long, values binary"), parts)
+        if found is not None:
+            theta = found[1].copy()
+        start.unpersist()
     return theta
 
 
-def score(docs: DataFrame, v: Vocabulary, theta: np.ndarray, text: str = "text") -> DataFrame:
+@dataclass
+class Model:
+    """counts: word, n of the corpus; least: the lowest bin of counts whose words the vocabulary holds."""
+
+    vocabulary: Vocabulary
+    theta: np.ndarray
+    counts: DataFrame
+    least: int
+
+
+def fit(docs: DataFrame, known: int = KNOWN, rounds: int = ROUNDS) -> Model:
+    """Counts, classes and weights from the column `text` of docs. Null and empty texts add nothing, repeated rows count each; without rows or words nothing is learnt."""
+    batch_rows(docs.sparkSession)
+    counts = stage(count_words(docs), "word-counts")
+    v, least = known_words(counts, known)
+    encoded = stage(encode(docs, v), "word-ids")
+    parts = max(1, encoded.rdd.getNumPartitions())
+    v = deal_classes(v, encoded, parts)
+    return Model(v, train(encoded, v, parts, rounds), counts, least)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Every row of docs with n_tokens, log_prob (the sum over its words) and mean_log_prob (null without words).
 
-    Null and empty texts have no words: 0 and 0.0. Columns of docs with the new names are replaced.
+    Null and empty texts have no words: 0, 0.0 and null. A word that the corpus does not have counts as if it stood there once. Equal
+    rows get equal scores; no rows give no rows. Columns of docs with the new names are replaced; keep_text: whether the text stays.
     """
     spark: SparkSession = docs.sparkSession
     batch_rows(spark)
-    model = spark.sparkContext.broadcast((v, theta))  # bounded by the vocabulary and the network's size
+    held_model = spark.sparkContext.broadcast((model.vocabulary, model.theta))  # bounded by KNOWN and the network's size
     new = ("n_tokens", "log_prob", "mean_log_prob")
-    kept = [c for c in docs.columns if c not in new]
-    rest = [F.col(f"`{c}`") for c in kept if c != text]
+    kept = [c for c in docs.columns if c not in new and (keep_text or c != text)]
+    rest = [F.col(f"`{c}`") for c in kept]
     held = docs.select((F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, theta = model.value
-        e, w, *_ = _views(theta)
-        tables = [np.ascontiguousarray(e @ w[j * EMBEDDING : (j + 1) * EMBEDDING]) for j in range(2 * SIDE)]
+        v, theta = held_model.value
+        log_n, rare = np.log(v.counts), np.log(v.rare_mass)
         for batch in batches:
             for rows, data, offsets in slices(batch):
-                places = Places(data, offsets, v)
-                sums = np.concatenate([[0.0], np.cumsum(log_probabilities(theta, places, tables))])
-                total = sums[places.bounds[1:]] - sums[places.bounds[:-1]]
-                total[places.counts == 0] = 0.0
-                mean = pa.array(total / np.maximum(places.counts, 1), mask=places.counts == 0)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(places.counts, pa.int64()), pa.array(total), mean], ["_row", "text", *new])
-
-    out = held.mapInArrow(run, T.StructType([*held.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())]))
-    return out.select(*[F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept], *new)
+                w = Words(data, offsets, ALNUM)
+                ids = v.ids(w.hashes)
+                p = log_probabilities(theta, Places(ids, w.counts, v))
+                table = (ids >= len(v.place)) & (ids < KNOWN)
+                p[table] += log_n[ids[table]] - rare
+                joined = ids >= KNOWN
+                p[joined] -= rare
+                sums = np.concatenate([[0.0], np.cumsum(p)])
+                total = sums[w.bounds[1:]] - sums[w.bounds[:-1]]
+                total[w.counts == 0] = 0.0
+                many = np.concatenate([[0], np.cumsum(joined)])[w.bounds]
+                words = pa.ListArray.from_arrays(pa.array(many, pa.int32()), pa.array(w.hashes[joined].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(w.counts, pa.int64()), pa.array(total), words], ["_row", "n_tokens", "log_prob", "words"])
+
+    scored = held.mapInArrow(run, T.StructType([held.schema.fields[0], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("words", T.ArrayType(T.LongType()))]))
+    scored = stage(scored.withColumn("_at", F.monotonically_increasing_id()), "scored")  # written, so that the numbers stay
+    others = model.counts.where(_bin(F.col("n")) < model.least)
+    more = scored.select("_at", F.explode("words").alias("word")).join(others, "word").groupBy("_at").agg(F.sum(F.log("n")).alias("more"))
+    total = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.join(more, "_at", "left").select(*[F.col("_row")[c].alias(c) for c in kept], "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, log_prob and mean_log_prob of every document, by a network trained on all of them. Null and empty texts: 0, 0.0, null; repeated rows each have a row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    batch_rows(spark)
-    v = vocabulary(docs)
-    return score(docs, v, train(docs, v)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+    return score(docs, fit(docs), keep_text=False)

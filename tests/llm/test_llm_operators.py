@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_extract, jaccard, license_scan, lm_score, sentencepiece, sharding, topk, toxicity, warc
+from tessera.llm import decontaminate, html_extract, jaccard, license_scan, sentencepiece, sharding, topk, toxicity, warc
 from tessera.llm.common import fresh_dir, utf8
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -442,92 +442,3 @@ def test_html_frames(spark):
     text = {x.page_id: x.text for x in got}
     assert text[1] == "Big & small\nFirst bold, here is a sentence <x>.\nSecond one here is a longer sentence."
     assert text[2] == text[3] == "" and len(got) == 6 and all(x.n_chars == len(x.text) for x in got)
-
-
-# -- 1 ----------------------------------------------------------------------------------------------------------------
-
-
-def test_lm_prefers_the_corpus(spark):
-    r = random.Random(8)
-    cycle = [f"k{i}" for i in range(30)]
-
-    def sentence():
-        a = r.randrange(30)
-        return " ".join(cycle[(a + i) % 30] for i in range(60))
-
-    docs = docs_of(spark, [(i, sentence()) for i in range(600)]).repartition(3).cache()
-    v = lm_score.vocabulary(docs)
-    theta = lm_score.train(docs, v, rounds=4)
-    shuffled = " ".join(r.sample(sentence().split(), 60))
-    probe = docs_of(spark, [(1, sentence()), (2, shuffled), (3, None), (4, ""), (4, "")]).withColumn("log_prob", F.lit("clash"))
-    got = {x.doc_id: x for x in lm_score.score(probe, v, theta).collect()}
-    assert got[1].mean_log_prob > got[2].mean_log_prob + 0.5
-    assert (got[3].n_tokens, got[3].log_prob, got[3].mean_log_prob) == (0, 0.0, None)
-    assert abs(got[1].log_prob / got[1].n_tokens - got[1].mean_log_prob) < 1e-9
-
-
-def test_lm_counts_every_word(spark):
-    rows = [(1, "A b a"), (2, None), (3, "b c")]
-    counts = sorted(x.n for x in lm_score.count_words(docs_of(spark, rows)).collect())
-    assert counts == [1, 2, 2]
-    v = lm_score.vocabulary(docs_of(spark, []))
-    assert lm_score.score(docs_of(spark, [(1, "x")]), v, lm_score.train(docs_of(spark, []), v)).first().n_tokens == 1
-
-
-def test_lm_trains_on_every_place(spark):
-    rows = [(1, "a"), (2, None), (3, " ".join(f"w{i}" for i in range(50))), (4, "b c"), (5, ""), (6, " ".join(f"v{i}" for i in range(16)))]
-    texts = [x or "" for _, x in rows]
-    v = lm_score.vocabulary(docs_of(spark, rows))
-    places = lm_score.Places(*utf8(pa.array(texts)), v)
-    for rounds in (1, 2, 4, 5, lm_score.MASK):
-        dealt = [lm_score.masks(places, turn, rounds) for turn in range(rounds)]
-        assert sorted(np.concatenate(dealt).tolist()) == list(range(50 + 16 + 3))
-    # a document's places do not depend on what stands before it
-    own = lm_score.Places(*utf8(pa.array(texts[2:3])), v)
-    assert [x - 1 for x in lm_score.masks(places, 1, 2).tolist() if 1 <= x < 51] == lm_score.masks(own, 1, 2).tolist()
-
-
-def test_lm_step_is_dense_adagrad():
-    r = np.random.default_rng(5)
-    v = lm_score.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), 0.0, np.zeros(lm_score.CLASSES + 1))
-    theta = lm_score.initial(v).astype(np.float64)
-    context, target = r.integers(0, 50, (20, 2 * lm_score.SIDE)), r.integers(0, lm_score.CLASSES, 20)
-    e, w, b, u, c = lm_score._views(theta)
-    x = e[context].reshape(20, -1)
-    h = np.maximum(x @ w + b, 0)
-    p = np.exp(h @ u + c)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(20), target] -= 1
-    p /= 20
-    gh = (p @ u.T) * (h > 0)
-    grad = np.zeros_like(theta)
-    ge, gw, gb, gu, gc = lm_score._views(grad)
-    np.add.at(ge, context.reshape(-1), (gh @ w.T).reshape(-1, lm_score.EMBEDDING))
-    gw += x.T @ gh
-    gb += gh.sum(0)
-    gu += h.T @ p
-    gc += p.sum(0)
-    squares = 1e-3 + grad * grad
-    want = theta - lm_score.RATE * grad / (np.sqrt(squares) + 1e-6)
-    lm_score.descend(theta, got := np.full_like(theta, 1e-3), context, target)
-    assert np.allclose(theta, want, atol=1e-12) and np.allclose(got, squares, atol=1e-12)
-
-
-def test_lm_gradient():
-    r = np.random.default_rng(0)
-    v = lm_score.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32), 0.0, np.zeros(lm_score.CLASSES + 1))
-    theta = lm_score.initial(v).astype(np.float64)
-    context, target = r.integers(0, 100, (20, 6)), r.integers(0, 129, 20)
-
-    def loss(t):
-        e, w, b, u, c = lm_score._views(t)
-        z = np.maximum(e[context].reshape(20, -1) @ w + b, 0) @ u + c
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(20), target]))
-
-    before = theta.copy()
-    lm_score.descend(theta, squares := np.full_like(theta, 1e-3), context, target)
-    grad = np.sqrt(squares - 1e-3) * -np.sign(theta - before)
-    for i in [*np.argsort(-np.abs(grad))[:5], 16 * 50 + 3]:
-        t = before.copy()
-        t[i] += 1e-5
-        assert abs((loss(t) - loss(before)) / 1e-5 - grad[i]) < 1e-4
