@@ -12,12 +12,14 @@ _staged: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (local runs)."""
+    """spark.checkpoint.dir, or in a local run a folder of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             at = held.get()
+        elif spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             at = "file://" + tempfile.mkdtemp(prefix="tessera-")
             _staged.add(at)
@@ -36,7 +38,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table, which survives lost executors and gives the planner real sizes."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._staged = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that stage() gave; nothing may read them any more."""
+    cleanup(*[t._staged for t in tables])
 
 
 def cleanup(*paths: str) -> None:
