@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-from ..lineage import cleanup, fresh_dir, shared_dir, stage  # noqa: F401
+from ..lineage import cleanup, drop, fresh_dir, shared_dir, stage  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64

@@ -5,17 +5,20 @@ order: rarer shingles first, ties by hash. Two sets whose Jaccard similarity is
 |x| - ceil(t |x|) + 1 of each. Shingles of one class alone come first in that order and join nothing, so only the shared
 shingles of the prefix are posted, and a class whose prefix has none is done.
 
-1. sign        a scan gives each row its set's size and 128-bit digest; equal digests are one class
-2. count       shingles go, packed as sorted 64-bit hashes with the row they are of, to the hash bucket that counts them;
-               those of two classes or more go back to their rows
-3. post        each row orders its shared shingles and posts those of its prefix
+1. sign        a scan gives each row its set's size and 128-bit digest; equal digests are one class, for which one row stands
+2. count       a scan sends the distinct shingles of each run of rows, as sorted 64-bit hashes with their number in the run,
+               to the hash bucket that sums them; those of two classes or more go back to their runs, with their counts
+3. post        a scan orders the shared shingles of each row and posts those of its prefix, each with the length of what
+               follows and a sketch of it: how many of the shingles after it fall into each of eight ranges of hashes
 4. star round  every class is compared with one pivot, of the lists it is in the one that meets it most; links give components
 5. join        lists that still hold two components are joined with themselves; pairs inside a component need no test.
-               Pairs that pass the length and positional filters are verified, after the suffix filter, once each
+               Pairs that pass the length, positional and suffix filters are verified once each
 6. components  smallest reachable id by label propagation with pointer jumping
 
-The star round keeps a large group of near copies from being expanded into all its pairs; what it leaves is joined exactly,
-so that no link between components is lost. Hashes of 64 bits stand for shingles throughout.
+Rows are known by file and number in the file, so that the scans may be split in any way; each checks the digests of the first.
+A shingle that very many rows have is counted once a run before it is sent, and its lists are joined in blocks. The star round
+keeps a large group of near copies from being expanded into all its pairs; what it leaves is joined exactly,
+so that no link between components is lost; similar_pairs() gives all links between classes. Hashes of 64 bits stand for shingles throughout.
 """
 
 from __future__ import annotations
@@ -26,17 +29,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Words, batch_rows, fresh_dir, mix, run_hash, slices, stage
+from .common import NON_SPACE, Words, batch_rows, cleanup, drop, fresh_dir, mix, run_hash, slices, stage
 
 #: Shingles that a bucket should hold; the number of buckets follows the corpus.
-BUCKET = 500_000
+BUCKET = 1_000_000
 #: Shingles that a task packs at once.
 PACK = 500_000
-#: Rows of an input partition whose shared shingles come back to one group: its memory doesn't follow the size of partitions.
-ROWS = 4096
+#: Neighbouring rows of a file that are a run, and rows whose places one file of the shared folder holds.
+ROWS, PLACES = 4096, 1 << 20
+#: Postings of a list in one block of a join; longer lists are joined block by block.
+BLOCK = 4096
 #: Bytes of text that a task hashes at once.
 SLICE = 1 << 20
 _U = np.uint64
@@ -98,149 +104,241 @@ def _sorted_out(raw: bytes) -> np.ndarray:
 
 
 def _plain_scan(df: DataFrame) -> bool:
-    """Whether every run of the plan deals rows alike: files, projections and filters only."""
-    names, open_ = set(), [df._jdf.queryExecution().optimizedPlan()]
+    """Whether each row of df is one of a file: files, projections and filters only."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names, open_ = set(), [plan]
     while open_:
         node = open_.pop()
         names.add(node.nodeName().split("(")[0].split(" ")[0])
         children = node.children()
         open_ += [children.apply(i) for i in range(children.size())]
-    return names <= {"Project", "Filter", "LogicalRelation", "Relation", "RelationV2", "LogicalRDD"} or names <= {"Project", "Filter", "LocalRelation"}
+    return plan.deterministic() and "_metadata" not in df.columns and names <= {"Project", "Filter", "LogicalRelation", "Relation", "RelationV2"}
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with _src (hash of the file's path) and _row (number in the file), the same however a scan is split. What is no plain scan of Parquet files is written first."""
+    keys = [F.xxhash64("_metadata.file_path").alias("_src"), F.col("_metadata.row_index").alias("_row")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("_src", "_row")]
+    if _plain_scan(docs):
+        try:
+            return docs.select(*kept, *keys)
+        except AnalysisException:  # files without row numbers
+            pass
+    return stage(docs.select(*kept), "rows").select(*kept, *keys)
 
 
 def _signed(base: DataFrame, k: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, data, offsets in slices(batch, size=SLICE):
                 hashes, counts = shingle_sets(data, offsets, k)
                 a, b = _digests(hashes, counts)
-                n = rows.num_rows
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(n, src, np.int64)), pa.array(np.arange(row, row + n)), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "src", "row", "n", "d1", "d2"])
-                row += n
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "src", "row", "n", "d1", "d2"])
 
     return base.mapInArrow(sign, "doc_id long, src long, row long, n long, d1 long, d2 long")
 
 
-def _shared(base: DataFrame, signed: DataFrame, taken: DataFrame, k: int, buckets: int) -> DataFrame:
-    """part (input partition and run of its rows), blobs of (hash, classes that have it, row): the shingles of classes that are not the only one with it. taken: (src, row) of the rows that stand for a class."""
-    spark = base.sparkSession
-    folder = fresh_dir(spark, "rows")
+def _write(folder: str, src: int, block: int, arrays: list[np.ndarray]) -> None:
+    """Arrays of 8-byte numbers, all of one length, as a file that appears when whole."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(f"{root}/{src}", recursive=True)
+    own = f"{root}/{src}/.{block}-{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(own) as sink:
+        for x in arrays:
+            sink.write(np.ascontiguousarray(x).astype("<i8").tobytes())
+    fs.move(own, f"{root}/{src}/{block}")
+
+
+class _Files:
+    """The last file read of a folder that _write filled."""
+
+    def __init__(self, folder: str, columns: int) -> None:
+        self.fs, self.root = pafs.FileSystem.from_uri(folder)
+        self.columns, self.at, self.held = columns, None, None
+
+    def get(self, src: int, block: int) -> np.ndarray:
+        if self.at != (src, block):
+            path = f"{self.root}/{src}/{block}"
+            raw = b""
+            if self.fs.get_file_info(path).type == pafs.FileType.File:
+                with self.fs.open_input_stream(path) as stream:
+                    raw = stream.read()
+            self.at, self.held = (src, block), np.frombuffer(raw, "<i8").reshape(self.columns, -1)
+        return self.held
+
+
+def _runs(src: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(file, run, begin, end) of neighbouring rows."""
+    run = row // ROWS
+    cut = np.concatenate([[0], np.flatnonzero((np.diff(src) != 0) | (np.diff(run) != 0)) + 1, [len(row)]])
+    return [(int(src[a]), int(run[a]), int(a), int(b)) for a, b in zip(cut, cut[1:], strict=False)] if len(row) else []
+
+
+def _standing(batches: Iterator[pa.RecordBatch], places: _Files, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(file, run, ids of classes, their shingle hashes, how many each has) of the rows that stand for a class."""
+    for batch in batches:
+        for rows, data, offsets in slices(batch, size=SLICE):
+            src, row = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+            hashes, counts = shingle_sets(data, offsets, k)
+            first = None
+            ends = np.cumsum(counts)
+            for file, run, a, b in _runs(src, row):
+                taken, digest, ids = places.get(file, run * ROWS // PLACES)
+                if not len(taken):
+                    continue
+                at = np.minimum(np.searchsorted(taken, row[a:b]), len(taken) - 1)
+                mine = taken[at] == row[a:b]
+                if not mine.any():
+                    continue
+                first = _digests(hashes, counts)[0] if first is None else first
+                if (first[a:b][mine] != digest[at[mine]]).any():
+                    raise ValueError("the rows of a file have changed between two scans")
+                begin = ends[a] - counts[a]
+                keep = np.repeat(mine, counts[a:b])
+                yield file, run, ids[at[mine]], hashes[begin : ends[b - 1]][keep], counts[a:b][mine]
+
+
+def _note(taken: DataFrame) -> str:
+    """Folder with the rows that stand for a class (src, row, d1, cid), a file for PLACES rows of an input file."""
+    folder = fresh_dir(taken.sparkSession, "places")
 
     def note(table: pa.Table) -> pa.Table:
-        src = table.column("src")[0].as_py()
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        own = f"{root}/.{src}-{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(own) as sink:
-            sink.write(np.sort(table.column("row").to_numpy()).astype("<i8").tobytes())
-        fs.move(own, f"{root}/{src}")
+        src, row = table.column("src")[0].as_py(), table.column("row").to_numpy()
+        by = np.argsort(row)
+        _write(folder, src, int(row[0]) // PLACES, [table.column(c).to_numpy()[by] for c in ("row", "d1", "cid")])
         return pa.table({"src": [src]})
 
-    # each task of the next scan needs the rows of its own partition alone: a file for each in the shared folder
-    taken.groupBy("src").applyInArrow(note, "src long").agg(F.count("*")).collect()
+    taken.groupBy("src", F.floor(F.col("row") / PLACES).alias("block")).applyInArrow(note, "src long").agg(F.count("*")).collect()
+    return folder
+
+
+def _shared(base: DataFrame, places: str, k: int, buckets: int) -> str:
+    """Folder with the shingles that two classes or more have, a file for each run of rows: their hashes in order, and in how many classes they are."""
+    folder = fresh_dir(base.sparkSession, "shared")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, row = TaskContext.get().partitionId(), 0
-        fs, root = pafs.FileSystem.from_uri(folder)
-        mine = np.zeros(0, np.int64)
-        if fs.get_file_info(f"{root}/{src}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{src}") as stream:
-                mine = np.frombuffer(stream.read(), "<i8")
-        held, owners, size = [], [], 0
+        held: list[np.ndarray] = []
+        where, size = None, 0
 
         def flush() -> pa.RecordBatch:
-            h, o = np.concatenate(held), np.concatenate(owners)
-            by = np.argsort(h)
-            h, o = h[by], o[by].astype(np.uint32)
+            h, many = np.unique(np.concatenate(held), return_counts=True)
             number = ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(h)]])
-            return pa.RecordBatch.from_arrays([pa.array(number[cut[:-1]]), pa.array(np.full(len(cut) - 1, src)), pa.array([_sorted_in(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([_planes(o[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["bucket", "src", "hashes", "rows"])
-
-        for batch in batches:
-            for rows, data, offsets in slices(batch, size=SLICE):
-                hashes, counts = shingle_sets(data, offsets, k)
-                here = np.arange(row, row + rows.num_rows)
-                row += rows.num_rows
-                keep = np.repeat(np.isin(here, mine, assume_unique=True), counts)
-                if keep.any():
-                    held.append(hashes[keep])
-                    owners.append(np.repeat(here, counts)[keep])
-                    size += len(held[-1])
-                if size >= PACK:
-                    yield flush()
-                    held, owners, size = [], [], 0
+            spans = list(zip(cut, cut[1:], strict=False))
+            file, run = (pa.array(np.full(len(spans), x, np.int64)) for x in where)
+            return pa.RecordBatch.from_arrays([pa.array(number[cut[:-1]]), file, run, pa.array([_sorted_in(h[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(many[a:b].astype(np.uint32)) for a, b in spans], pa.binary())], ["bucket", "src", "run", "hashes", "many"])
+
+        for file, run, _, hashes, _ in _standing(batches, _Files(places, 3), k):
+            if held and (where != (file, run) or size >= PACK):
+                yield flush()
+                held, size = [], 0
+            where = (file, run)
+            held.append(hashes)
+            size += len(hashes)
         if size:
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
         h = [_sorted_out(x) for x in table.column("hashes").to_pylist()]
-        o = [_from_planes(x, np.uint32) for x in table.column("rows").to_pylist()]
-        src = np.repeat(table.column("src").to_numpy(), [len(x) for x in h])
-        h, o = np.concatenate(h), np.concatenate(o)
+        of = np.repeat(np.arange(len(h), dtype=np.uint32), [len(x) for x in h])
+        h = np.concatenate(h)
         by = np.argsort(h)
-        h = h[by]
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        many = np.diff(np.append(np.flatnonzero(first), len(h)))
-        many = np.repeat(many, many)
-        keep = many > 1
-        h, o, src, many = h[keep], o[by][keep], src[by][keep], many[keep]
-        part = (src << 24) + o // ROWS
-        by = np.argsort(part, kind="stable")
-        h, o, part, many = h[by], o[by], part[by], many[by].astype(np.uint32)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(h)]]) if len(h) else np.zeros(1, np.int64)
+        h, of = h[by], of[by]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        total = np.add.reduceat(np.concatenate([_from_planes(x, np.uint32) for x in table.column("many").to_pylist()])[by].astype(np.int64), first)
+        total = np.repeat(total, np.diff(np.append(first, len(h))))
+        keep = total > 1
+        h, of, total = h[keep], of[keep], np.minimum(total[keep], 2**32 - 1).astype(np.uint32)
+        by = np.argsort(of, kind="stable")
+        h, of, total = h[by], of[by], total[by]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(h)]]) if len(h) else np.zeros(1, np.int64)
         spans = list(zip(cut, cut[1:], strict=False))
-        return pa.table({"part": pa.array(part[cut[:-1]] if len(h) else [], pa.int64()), "hashes": pa.array([_sorted_in(h[a:b]) for a, b in spans], pa.binary()), "rows": pa.array([_planes(o[a:b]) for a, b in spans], pa.binary()), "counts": pa.array([_planes(many[a:b]) for a, b in spans], pa.binary())})
-
-    packed = base.mapInArrow(pack, "bucket long, src long, hashes binary, rows binary")
-    return packed.groupBy("bucket").applyInArrow(count, "part long, hashes binary, rows binary, counts binary")
-
-
-def _ordered(shared: DataFrame, taken: DataFrame, percent: int) -> DataFrame:
-    """Of each class with a shared shingle in its prefix: id, n, u (shingles it has alone), prefix (shared shingles of the prefix, in global order), shingles (shared, by hash)."""
-
-    def order(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"id": [], "n": [], "u": [], "prefix": [], "shingles": []}
-        if left.num_rows and right.num_rows:
-            h = np.concatenate([_sorted_out(x) for x in left.column("hashes").to_pylist()])
-            o = np.concatenate([_from_planes(x, np.uint32) for x in left.column("rows").to_pylist()]).astype(np.int64)
-            c = np.concatenate([_from_planes(x, np.uint32) for x in left.column("counts").to_pylist()])
-            by = np.lexsort((h, c, o))
-            h, o = h[by], o[by]
-            rows, ids, sizes = (right.column(x).to_numpy() for x in ("row", "id", "n"))
-            begin, end = np.searchsorted(o, rows, "left"), np.searchsorted(o, rows, "right")
-            for i, n, a, b in zip(ids.tolist(), sizes.tolist(), begin.tolist(), end.tolist(), strict=True):
+        src, run = (table.column(c).to_numpy()[of[cut[:-1]]] if len(h) else np.zeros(0, np.int64) for c in ("src", "run"))
+        return pa.table({"src": pa.array(src, pa.int64()), "run": pa.array(run, pa.int64()), "hashes": pa.array([_sorted_in(h[a:b]) for a, b in spans], pa.binary()), "totals": pa.array([_planes(total[a:b]) for a, b in spans], pa.binary())})
+
+    def keep(table: pa.Table) -> pa.Table:
+        h = np.concatenate([_sorted_out(x) for x in table.column("hashes").to_pylist()])
+        h, first = np.unique(h, return_index=True)  # a run that two tasks share has a shingle twice
+        total = np.concatenate([_from_planes(x, np.uint32) for x in table.column("totals").to_pylist()])[first]
+        src, run = (table.column(c)[0].as_py() for c in ("src", "run"))
+        _write(folder, src, run, [h.view(np.int64), total])
+        return pa.table({"src": [src]})
+
+    packed = base.mapInArrow(pack, "bucket long, src long, run long, hashes binary, many binary")
+    shared = packed.groupBy("bucket").applyInArrow(count, "src long, run long, hashes binary, totals binary")
+    shared.groupBy("src", "run").applyInArrow(keep, "src long").agg(F.count("*")).collect()
+    return folder
+
+
+def _ordered(base: DataFrame, places: str, shared: str, k: int, percent: int) -> DataFrame:
+    """Of each class with a shared shingle in its prefix: id, n, u (shingles it has alone), prefix (shared shingles of the prefix, in global order), sketch (of what follows each), shingles (shared, by hash)."""
+    schema = "id long, n long, u long, prefix binary, sketch binary, shingles binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    shifts = (_U(8) * np.arange(8, dtype=_U))[None, :]
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _Files(shared, 2)
+        for file, run, ids, hashes, counts in _standing(batches, _Files(places, 3), k):
+            known, totals = files.get(file, run)
+            if not len(known):
+                continue
+            known = known.view(_U)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            found = np.flatnonzero(known[at] == hashes)
+            of = np.repeat(np.arange(len(counts)), counts)[found]
+            hashes, total = hashes[found], totals[at[found]]
+            ends = np.searchsorted(of, np.arange(len(counts)), "right")
+            out: dict[str, list] = {c: [] for c in names}
+            a = 0
+            for i, n, b in zip(ids.tolist(), counts.tolist(), ends.tolist(), strict=True):
                 u = n - (b - a)
-                prefix = n + percent * -n // 100 + 1  # n - ceil(t n) + 1
-                if b > a and prefix > u:
+                first = n + percent * -n // 100 + 1 - u  # n - ceil(t n) + 1, without those it has alone
+                if b > a and first > 0:
+                    h = hashes[a:b]
+                    ranked = h[np.lexsort((h, total[a:b]))]
+                    part = (ranked >> _U(61)).astype(np.int64)
+                    one = np.zeros((min(first, b - a), 8), np.int64)
+                    one[np.arange(len(one)), part[: len(one)]] = 1
+                    after = np.bincount(part, minlength=8) - np.cumsum(one, axis=0)
                     out["id"].append(i)
                     out["n"].append(n)
                     out["u"].append(u)
-                    out["prefix"].append(h[a : a + prefix - u].tobytes())
-                    out["shingles"].append(_sorted_in(np.sort(h[a:b])))
-        return pa.table({x: pa.array(v, pa.binary() if x in ("prefix", "shingles") else pa.int64()) for x, v in out.items()})
+                    out["prefix"].append(ranked[: len(one)].tobytes())
+                    out["sketch"].append((np.minimum(after, 255).astype(_U) << shifts).sum(1, dtype=_U).tobytes())
+                    out["shingles"].append(_sorted_in(h))
+                a = b
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64() if c in ("id", "n", "u") else pa.binary()) for c in names], names)
 
-    dealt = taken.withColumn("part", F.shiftleft("src", 24) + F.floor(F.col("row") / ROWS))
-    return shared.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(order, "id long, n long, u long, prefix binary, shingles binary")
+    return base.mapInArrow(order, schema)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            prefixes, sketches = ([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in (3, 4))
             many = np.array([len(x) for x in prefixes], np.int64)
             at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            u = np.repeat(batch.column(2).to_numpy(), many)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(np.repeat(batch.column(1).to_numpy(), many)), pa.array(u), pa.array(u + at)], ["shingle", "id", "n", "u", "pos"])
+            ids, n, u = (np.repeat(batch.column(c).to_numpy(), many) for c in (0, 1, 2))
+            one = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (prefixes, sketches)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one[0], ids, n, u, u + at, one[1])], ["shingle", "id", "n", "u", "pos", "sketch"])
 
-    return sets.select("id", "n", "u", "prefix").mapInArrow(post, "shingle long, id long, n long, u long, pos long")
+    return sets.select("id", "n", "u", "prefix", "sketch").mapInArrow(post, "shingle long, id long, n long, u long, pos long, sketch long")
 
 
-def _may_link(a: str, b: str, percent: int):
-    """The length filter, and the positional filter: what two sets can still share from this shingle on."""
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """The length, positional and suffix filters.
+
+    What two sets still share from this shingle on is at most the shorter rest, and, if it is the first that they share, one and the smaller
+    number of each range of what follows. A pair that is similar enough passes at the first shingle that it shares.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
+    after = F.lit(1)
+    for i in range(8):
+        x, y = (F.shiftrightunsigned(F.col(f"{c}.sketch"), 8 * i).bitwiseAND(F.lit(255)) for c in (a, b))
+        after = after + F.when((x == 255) & (y == 255), left).otherwise(F.least(x, y))  # 255: so many or more
+    needed = percent * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= needed) & ((100 + percent) * after >= needed)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,19 +347,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = _U(1 << 60) * np.arange(1, 16, dtype=_U)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = np.zeros(len(a), bool)
+            keep = np.zeros(batch.num_rows, bool)
             known: tuple[bytes, np.ndarray] = (b"", np.zeros(0, _U))
             for i, (na, ra, nb, rb) in enumerate(zip(*[batch.column(j).to_pylist() for j in (2, 3, 4, 5)], strict=True)):
                 if ra != known[0]:
                     known = (ra, _sorted_out(ra))
                 x, y = known[1], _sorted_out(rb)
-                # suffix filter: halving both at the same hashes, four deep; what one has more than the other in a part is not shared
-                px, py = (np.diff(np.concatenate([[0], np.searchsorted(s, marks), [len(s)]])) for s in (x, y))
-                if (100 + percent) * np.minimum(px, py).sum() < percent * (na + nb):
-                    continue
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 same = int((x[at] == y).sum())
                 keep[i] = 100 * same >= percent * (na + nb - same)
@@ -270,6 +362,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(verify, "a long, b long")
 
 
+def _met(postings: DataFrame, percent: int, apart: Column | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of postings that meet in a list and pass the filters; apart: which pairs at all (of x and y, a < b else).
+
+    A list of more than BLOCK postings is cut into blocks by a hash of the id, and one of each two postings goes to all of them.
+    """
+    blocks = postings.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = postings.join(blocks, "shingle")
+    left = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    right = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = left.alias("x").join(right.alias("y"), ["shingle", "block"]).where(F.col("x.id") < F.col("y.id") if apart is None else apart).where(_may_link("x", "y", percent))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links reach, for the nodes of links (a, b). Links may repeat and point either way."""
     edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
@@ -287,59 +392,89 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _classes(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, classes of equal sets with the row that stands for each and a number, cid)."""
+    signed = stage(_signed(base, k), "signed")
+    found = signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "src", "row", "n")).alias("s"), F.count("*").alias("copies"))
+    # written, so that the numbers stay
+    return signed, stage(found.select("d1", "d2", F.col("s.doc_id").alias("id"), "s.src", "s.row", "s.n", "copies").withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+
+def _sets(base: DataFrame, classes: DataFrame, k: int, percent: int, bucket: int) -> DataFrame:
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    places = _note(classes.select("src", "row", "d1", "cid"))
+    shared = _shared(base, places, k, max(64, total // bucket))
+    sets = stage(_ordered(base, places, shared, k, percent), "sets")
+    cleanup(places, shared)
+    return sets
+
+
+def _prepared(docs: DataFrame) -> DataFrame:
+    batch_rows(docs.sparkSession)
+    plain = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    return docs.select(*plain, "_src", "_row") if {"_src", "_row"} <= set(docs.columns) else row_keys(docs.select(*plain))
+
+
+def similar_pairs(docs: DataFrame, k: int = 5, percent: int = 75, bucket: int = BUCKET) -> DataFrame:
+    """a, b (a <= b): the smallest doc_ids of any two classes of equal sets that link. Sets, links and odd rows as in similarity_join.
+
+    All links are tested, also those inside a group of near copies, whose number is the square of its different texts.
+    """
+    base = _prepared(docs)
+    _, classes = _classes(base, k)
+    sets = _sets(base, classes, k, percent, bucket)
+    links = _verified(_met(stage(_postings(sets), "postings"), percent), sets, percent)
+    one, two = (classes.select(F.col("cid").alias(c), F.col("id").alias(f"id_{c}")) for c in ("a", "b"))
+    return links.join(one, "a").join(two, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
 def similarity_join(docs: DataFrame, k: int = 5, percent: int = 75, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row for each row of docs (doc_id, text; other columns are left out).
+    """doc_id, n_shingles, component_id, stays, _src and _row, one row for each row of docs (doc_id, text; other columns are left out).
 
     A set has the distinct runs of k words of the whole text (words: non-white-space runs, A-Z as a-z); a text of fewer words has its whole
     sequence as one; null, empty or blank texts have none and link with nothing. Two rows link where 100 * |x and y| >= percent * |x or y|.
-    component_id: the smallest doc_id that links reach, the own included. Repeated rows are copies of each other. Classes of
-    copies whose smallest doc_ids are equal (an id with several texts) count as one. Rows with a null doc_id take no part
-    and have a null component_id. No rows give no rows.
+    component_id: the smallest doc_id that links reach, the own included. Repeated rows are copies of each other; rows of one doc_id with other texts are rows of their own. Rows with a null doc_id take no part
+    and have a null component_id. stays: of each component the row with the smallest doc_id (of several, one), and all rows
+    that take no part. _src and _row are the keys of row_keys(docs). No rows give no rows.
     """
-    spark: SparkSession = docs.sparkSession
-    batch_rows(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not _plain_scan(base):
-        base = stage(base, "texts")
-    signed = stage(_signed(base, k), "signed")
-    stands = F.min(F.struct("doc_id", "src", "row", "n"))
-    classes = stage(signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(stands.alias("s"), F.count("*").alias("copies")).select("d1", "d2", F.col("s.doc_id").alias("id"), "s.src", "s.row", "s.n", "copies"), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    taken = classes.select("src", "row", "id", "n")
-    sets = stage(_ordered(_shared(base, signed, taken, k, max(64, total // bucket)), taken, percent), "sets")
-    spark._jvm.System.gc()  # the shuffles up to here are done with; their files go
+    base = _prepared(docs)
+    signed, classes = _classes(base, k)
+    sets = _sets(base, classes, k, percent, bucket)
     postings = stage(_postings(sets), "postings")
 
     # star round
-    pivots = postings.groupBy("shingle").agg(F.min(F.struct("u", "id", "n", "pos")).alias("p"), F.count("*").alias("many")).where("many > 1")
-    pivots = stage(pivots.select("shingle", F.col("p.id").alias("id"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos")), "pivots")
+    pivots = postings.groupBy("shingle").agg(F.min(F.struct("u", "id", "n", "pos", "sketch")).alias("p"), F.count("*").alias("many")).where("many > 1")
+    pivots = stage(pivots.select("shingle", "p.id", "p.n", "p.pos", "p.sketch"), "pivots")
     met = postings.alias("x").join(pivots.alias("p"), "shingle").where(F.col("x.id") != F.col("p.id")).where(_may_link("x", "p", percent))
     met = met.groupBy(F.col("x.id").alias("b"), F.col("p.id").alias("a")).agg(F.count("*").alias("times"))
     stars = met.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("m")).select("b", (-F.col("m.a")).alias("a"))
-    links = stage(_verified(stars, sets, percent), "links")
-    labels = components(links)
+    labels = components(stage(_verified(stars, sets, percent), "links"))
 
     # what the star round left: pairs of different components
     known = postings.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     known = stage(known, "labelled")
     mixed = stage(known.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle"), "mixed")
     live = stage(known.join(mixed, "shingle", "left_semi"), "live")
-    pairs = live.alias("x").join(live.alias("y"), "shingle").where(F.col("x.label") < F.col("y.label")).where(_may_link("x", "y", percent))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = stage(_verified(pairs, sets, percent), "links")
+    more = stage(_verified(_met(live, percent, F.col("x.label") < F.col("y.label")), sets, percent), "links")
     if not more.isEmpty():
         labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
-    # classes that have copies, or are linked, have a component that isn't the row's own id
-    moved = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or label is not null")
-    moved = stage(moved.select("d1", "d2", F.coalesce("label", "id").alias("component")), "moved")
-    found = signed.join(moved, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # classes that have copies, or are linked, have a row that stands for the component
+    moved = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").where("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "cid"))
+    moved = stage(moved.select("d1", "d2", "label", "id", "src", "row"), "moved")
+    heads = moved.groupBy("label").agg(F.min(F.struct("id", "src", "row")).alias("head"))
+    heads = stage(moved.join(heads, "label").select("d1", "d2", "head"), "heads")
+    drop(classes, sets, postings, pivots, known, mixed, live, more, moved)
+    found = signed.join(heads, ["d1", "d2"], "left")
+    part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(part, F.coalesce("head.id", "doc_id")).when(F.col("n") == 0, F.col("doc_id"))
+    stays = ~part | F.col("head").isNull() | ((F.col("head.src") == F.col("src")) & (F.col("head.row") == F.col("row")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), stays.alias("stays"), F.col("src").alias("_src"), F.col("row").alias("_row"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """doc_id, n_shingles and component_id of every document; nulls, empty texts and repeated rows as in similarity_join."""
+    return similarity_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 OP3_SQL = r"""

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,17 @@ def test_jaccard(spark, seed):
             rows.append((ident * 7 % 1000, r.choice([" ", "\n", " \t"]).join(copy).upper() if r.random() < 0.2 else " ".join(copy)))
             ident += 1
     rows += [(2000, None), (2001, ""), (2002, "  \n"), (None, rows[0][1]), (2003, rows[0][1]), (2003, rows[0][1])]
-    got = [tuple(x) for x in jaccard.similarity_join(docs_of(spark, rows).withColumn("n", F.lit(1))).collect()]
+    frame = docs_of(spark, rows).withColumn("n", F.lit(1))
+    got = [tuple(x)[:3] for x in jaccard.similarity_join(frame).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows)))
+    sets = {}
+    for i, text in rows:
+        w = [lower(x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        g = frozenset(tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))) if w else None
+        if g and i is not None:
+            sets[g] = min(i, sets.get(g, i))
+    want = [tuple(sorted((sets[a], sets[b]))) for a, b in combinations(sets, 2) if 100 * len(a & b) >= 75 * len(a | b)]
+    assert sorted(tuple(x) for x in jaccard.similar_pairs(frame).collect()) == sorted(want)
 
 
 def test_jaccard_chain_and_shared_passage(spark):
@@ -128,13 +138,49 @@ def test_jaccard_chain_and_shared_passage(spark):
         rows.append((i, " ".join(base)))
     passage = " ".join(words(r, 60, 10**6))
     rows += [(100 + i, " ".join(words(r, 200, 10**6)) + " " + passage) for i in range(30)]
-    got = [tuple(x) for x in jaccard.similarity_join(docs_of(spark, rows)).collect()]
+    got = [tuple(x)[:3] for x in jaccard.similarity_join(docs_of(spark, rows)).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_components(rows)))
 
 
+def test_jaccard_split_otherwise_between_scans(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(words(r, 40, 10**6)) for _ in range(60)]
+    rows = [(i, texts[i % 60] + (f" tail{i % 7}" if i % 3 else "")) for i in range(600)]
+    docs_of(spark, rows).repartition(3).write.option("parquet.block.size", 2048).parquet(str(tmp_path / "d"))
+    note = jaccard._note
+
+    def resplit(taken):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return note(taken)
+
+    monkeypatch.setattr(jaccard, "_note", resplit)
+    monkeypatch.setattr(jaccard, "ROWS", 16)
+    try:
+        got = [tuple(x)[:3] for x in jaccard.similarity_join(spark.read.parquet(str(tmp_path / "d"))).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(brute_components(rows))
+
+
+def test_jaccard_long_lists_and_one_that_stays(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    r = random.Random(3)
+    passages = [" ".join(words(r, 30, 10**6)) for _ in range(4)]
+    rows = [(100 + i, " ".join(r.sample(passages, 3)) + f" own{i}") for i in range(60)] + [(7, passages[0]), (7, passages[1]), (61, passages[1]), (None, passages[1]), (62, None)]
+    got = jaccard.similarity_join(docs_of(spark, rows)).collect()
+    alone = [x for x in rows if x[0] != 7]
+    assert sorted((x.doc_id, x.component_id) for x in got if x.doc_id is not None and x.doc_id not in (7, 61)) == sorted((i, c) for i, _, c in brute_components(alone) if i not in (None, 61))
+    assert sorted((x.doc_id, x.component_id, x.stays) for x in got if x.doc_id in (7, 61)) == [(7, 7, True), (7, 7, True), (61, 7, False)]
+    stay = {x.component_id for x in got if x.stays and x.component_id is not None}
+    assert stay == {x.component_id for x in got if x.component_id is not None}
+    assert all(x.stays for x in got if x.doc_id is None or x.n_shingles == 0)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.similarity_join(docs_of(spark, [])).count() == 0
-    assert [tuple(x) for x in jaccard.similarity_join(docs_of(spark, [(1, None)])).collect()] == [(1, 0, 1)]
+    assert [tuple(x)[:4] for x in jaccard.similarity_join(docs_of(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
 
 
 # -- 9 ----------------------------------------------------------------------------------------------------------------
