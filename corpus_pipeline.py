@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, jaccard, sentencepiece, toxicity
 from tessera.llm.common import stage
 
-#: Most ids in a broadcast: 8 MB.
-BROADCAST_IDS = 1_000_000
+#: Most row keys in a broadcast: 16 MB.
+BROADCAST_KEYS = 1_000_000
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -34,21 +34,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five-word shingles, similarity 0.75) the row with the smallest doc_id stays; of its repeated rows, one.
+    """Of each group of linked documents (five-word shingles, similarity 0.75) one row stays, of those with the smallest doc_id.
 
-    Texts without words link with nothing, so that all of them stay, as do rows with a null doc_id.
+    Rows are dropped one by one, so that rows of one doc_id with other texts are judged by their own. Texts without words link with nothing, so that
+    all of them stay, as do rows with a null doc_id. No rows give no rows.
     """
-    found = stage(jaccard.similarity_join(docs), "components")
-    gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    # ids by broadcast while they are few, else by a join of both sides on the id
-    few = gone.count() <= BROADCAST_IDS
-    left = packed(docs).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    repeated = stage(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        twice = left.where(wordy).join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.where(wordy).join(repeated, "doc_id", "left_anti").unionByName(twice).unionByName(left.where(~wordy))
-    return unpacked(left, docs.columns)
+    rows = jaccard.row_keys(packed(docs))
+    gone = stage(jaccard.similarity_join(rows).where("not stays").select("_src", "_row"), "gone")
+    # keys by broadcast while they are few, else by a join of both sides
+    few = gone.count() <= BROADCAST_KEYS
+    return unpacked(rows.join(F.broadcast(gone) if few else gone, ["_src", "_row"], "left_anti"), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
