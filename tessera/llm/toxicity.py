@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams, features scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased (ASCII) and runs of white space become one space. Features are the byte n-grams of 3 to 6
-bytes, hashed into 2**18, each counted once a text. A feature's value is its log-count ratio between the classes
+Texts are lower-cased (ASCII) and runs of white space become one space. Features are the n-grams of 3 to 6
+characters (code points), hashed into 2**18, each counted once a text. A feature's value is its log-count ratio between the classes
 (add-one smoothed document counts; ratios near 1 and features of fewer than three texts are left out); logistic
 regression with L2 is trained on these values by full-batch accelerated gradient steps. Training takes at most MAX_LABELLED labelled rows (by hash
 of doc_id, the same share of each class as there is); scoring takes every text whole.
@@ -29,23 +29,35 @@ MAX_LABELLED_BYTES = 8 << 20
 LEAST_TEXTS = 3
 LEAST_RATIO = 1.0
 
-_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER = np.arange(128, dtype=np.uint32)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
-_CODES = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(31)).astype(np.uint32)
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, A-Z as a-z and runs of white space as one space, and where each text starts. Bytes that are no UTF-8 become U+FFFD."""
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    raw = data.tobytes()
+    points = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(points) != at[-1]:
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:], strict=False)]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        at = np.cumsum([0, *map(len, texts)])
+    points = np.where(points < 128, _LOWER[np.minimum(points, 127)], points)
+    space = points == 32
+    again = np.flatnonzero(space[1:] & space[:-1]) + 1
+    if len(again):
+        again = again[~np.isin(again, at)]
+        at = at - np.searchsorted(again, at)
+        points = np.delete(points, again)
+    return points, at
 
 
 def features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text the distinct hashed n-grams that are wanted (flags): ids in the order of texts, and how many each has."""
     n = len(offsets) - 1
-    data = _LOWER[data]
-    space = data == 32
-    again = np.flatnonzero(space[1:] & space[:-1]) + 1
-    if len(again):
-        again = again[~np.isin(again, offsets)]
-        offsets = offsets - np.searchsorted(again, offsets)
-        data = np.delete(data, again)
-    codes = _CODES[data]
+    points, offsets = characters(data, offsets)
+    codes = ((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(31)).astype(np.uint32)
     rolling, found = codes, []
     for length in range(2, max(LENGTHS) + 1):
         rolling = rolling[:-1] * np.uint32(0x85EBCA6B) + codes[length - 1 :] if len(rolling) else rolling
@@ -66,11 +78,11 @@ def _sums(weights: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 def fit(texts: list[str], labels: np.ndarray, steps: int = 60, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weight of each hashed feature (log-count ratio times coefficient), and the intercept. With one class alone all weights are 0 and the score is 0 or 1; with no rows it is 0.5."""
+    """Weight of each hashed feature (log-count ratio times coefficient), and the intercept. With one class alone all weights are 0 and the score is 0 or 1; with no rows it is a quarter."""
     size = 1 << BITS
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
-        return np.zeros(size), 0.0 if not len(y) else (40.0 if y[0] else -40.0)
+        return np.zeros(size), -float(np.log(3)) if not len(y) else (40.0 if y[0] else -40.0)
     every, held, p, seen = np.ones(size, bool), [], np.zeros(size), np.zeros(size)
     for begin in range(0, len(texts), 100):
         i, c = features(*utf8(pa.array(texts[begin : begin + 100])), every)
@@ -109,27 +121,32 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 60, l2: float = 1e-4)
 def train(docs: DataFrame, labels: DataFrame, where=None) -> tuple[np.ndarray, float]:
     """Fits on labelled documents (labels: doc_id, toxic). where: which label rows may be learned from.
 
-    Of those rows, at most MAX_LABELLED by hash of doc_id are taken, in either class in proportion; null ids, labels and texts are left out.
+    Of those rows, at most MAX_LABELLED by hash of doc_id are taken, in either class in proportion; null ids, labels and texts are left out,
+    repeated rows count once, and a text that does not fit in what is left of MAX_LABELLED_BYTES is left out alone. Without any the model is that of no rows.
     """
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = (known.where(where) if where is not None else known).distinct()
     wanted = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MAX_LABELLED).toPandas()  # bounded by the parameter
     chosen = spark.createDataFrame(wanted, "doc_id long, toxic int")
-    held = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").distinct()
-    rows, room = [], MAX_LABELLED_BYTES
-    for row in held.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "toxic").limit(MAX_LABELLED).toLocalIterator():
-        size = len(row["text"].encode())
-        if size <= room:
-            room -= size
-            rows.append((row["text"], row["toxic"]))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = held.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")).distinct()
+    takes, room = [], MAX_LABELLED_BYTES
+    for row in found.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h", "toxic").limit(MAX_LABELLED).collect():  # numbers only
+        if row["size"] <= room:
+            room -= row["size"]
+            takes.append((row["doc_id"], row["toxic"], row["h"]))
+    taken = spark.createDataFrame(takes, "doc_id long, toxic int, h long")
+    # at most MAX_LABELLED_BYTES of text
+    rows = sorted({(x["doc_id"], x["toxic"], x["text"]) for x in held.join(F.broadcast(taken), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id", "toxic", "h"]).collect()})
+    rows = [(text, label) for _, label, text in rows]
     return fit([x for x, _ in rows], np.array([y for _, y in rows]))
 
 
 def score(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "text") -> DataFrame:
     """Every row of docs with score (double, 0 to 1) and predicted (int, 1 from 0.5 on).
 
-    Null and empty texts have no features, so they score the intercept. Columns of docs named
+    Null and empty texts have no features, so they score the intercept. Equal texts score alike; no rows give no rows. Columns of docs named
     score or predicted are replaced; other columns stay as they are.
     """
     spark = docs.sparkSession
@@ -156,7 +173,7 @@ LEARN = "crc32(cast(doc_id as string)) % 5 <> 0"
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """held_out is false for a null doc_id."""
+    """doc_id, held_out (false for a null doc_id), score and predicted of every document, repeated rows each. Null and empty texts score the intercept; without labels all score a quarter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), LEARN)
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))

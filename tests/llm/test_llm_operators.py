@@ -446,10 +446,45 @@ def test_toxicity_leaves_out_only_what_does_not_fit(spark, monkeypatch):
     assert corpus_pipeline.drop_toxic(spark, docs, "").count() == 40
 
 
+def test_toxicity_character_ngrams():
+    r = random.Random(2)
+    texts = ["", "a", "Ab  \t\ncd", "éàß — ñandú ñandú", "日本語のテキスト", " x ", "x" * 50, *["".join(r.choice("ab éß日\n ") for _ in range(r.randrange(40))) for _ in range(60)]]
+    data, offsets = utf8(pa.array(texts))
+    every = np.ones(1 << toxicity.BITS, bool)
+    ids, counts = toxicity.features(data, offsets, every)
+    at = 0
+    grams = {}
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        flat = re.sub("[ \t\n\x0b\f\r]+", " ", lower(text))
+        want = {flat[i : i + k] for k in toxicity.LENGTHS for i in range(len(flat) - k + 1)}
+        for g in want:  # what a text of the n-gram alone has and its parts do not
+            if g not in grams:
+                own, _ = toxicity.features(*utf8(pa.array([g])), every)
+                less = set().union(*(toxicity.features(*utf8(pa.array([x])), every)[0].tolist() for x in (g[1:], g[:-1])))
+                grams[g] = set(own.tolist()) - less
+        assert set(ids[at : at + n].tolist()) == set().union(*(grams[g] for g in want)) if want else n == 0
+        at += n
+    points, edges = toxicity.characters(np.frombuffer(b"a\xff\xfeb" + "é".encode(), np.uint8), np.array([0, 3, 6]))
+    assert points[edges[1] :].tolist() == [98, 0xE9]
+
+
+def test_toxicity_query(spark, tmp_path):
+    rows = [(i, f"text {i} " + ("vile scum" if i % 3 == 0 else "kind words")) for i in range(300)] + [(300, None), (301, ""), (None, "vile scum"), (302, "vile scum " * 30000)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op7_toxicity(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = got.collect()
+    assert len(got) == 304 and all(x.predicted == int(x.score >= 0.5) and 0 <= x.score <= 1 for x in got)
+    assert all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in got)
+    assert all(x.predicted == int(x.doc_id % 3 == 0) for x in got if x.doc_id is not None and x.doc_id < 300)
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, [(1, "a")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [x.score for x in toxicity.score(docs, *toxicity.train(docs, none)).collect()] == [0.5]
+    assert [(round(x.score, 6), x.predicted) for x in toxicity.score(docs, *toxicity.train(docs, none)).collect()] == [(0.25, 0)]
+    assert toxicity.score(docs_of(spark, []), *toxicity.train(docs_of(spark, []), none)).count() == 0
     one = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert toxicity.score(docs, *toxicity.train(docs, one)).first().predicted == 0
 

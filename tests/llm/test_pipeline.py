@@ -41,6 +41,9 @@ def test_stages(spark, corpus):
     assert {tuple(x) for x in kept.select("score", "n_hit", "`a.b`").collect()} == {(7, 8, 9)}
     single = steps["near_duplicates"](spark, docs, at)
     assert single.columns == columns and ids(single) == sorted(set(x for x in everyone if x[1] not in (1001, 1002)))
+    # rows of one id with texts that do not link all stay
+    more = docs.where("doc_id = 5").withColumn("text", F.lit("another text of the same id that links with nothing at all"))
+    assert steps["near_duplicates"](spark, docs.unionByName(more).unionByName(more), at).where("doc_id = 5").count() == 2
     unseen = steps["decontamination"](spark, docs, at)
     assert unseen.columns == columns and ids(unseen) == [x for x in everyone if x[1] != 1000]
 
@@ -51,3 +54,24 @@ def test_run(spark, corpus):
     got = {x.doc_id for x in out}
     assert not got & (toxic | {1000, 1001, 1002}) and {1003, 1004, None, 2} <= got and len(out) == len(got)
     assert all(x.round_trip for x in out) and len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_and_unlabelled(spark, corpus, tmp_path):
+    at, _, columns = corpus
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        none = step(spark, docs.limit(0), str(tmp_path))
+        assert none.columns == columns and none.count() == 0, name
+    assert corpus_pipeline.tokenise(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_very_long_text(spark, corpus):
+    at, _, columns = corpus
+    long_text = " ".join(f"v{i % 5000}" for i in range(120_000))
+    docs = spark.createDataFrame([(1, long_text, "en", "s", len(long_text), 7, 8, 9), (2, long_text + " more", "en", "s", 0, 7, 8, 9)], ",".join(f"`{c}` {t}" for c, t in zip(columns, ["long", "string", "string", "string", "long", "int", "int", "int"], strict=True)))
+    assert [x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, at).collect()] == [1]
+    assert corpus_pipeline.drop_contaminated(spark, docs, at).count() == 2
+    assert all(x.round_trip and x.n_tokens >= 120_000 for x in corpus_pipeline.tokenise(spark, docs, at).collect())
