@@ -30,20 +30,23 @@ from pyspark.sql import types as T
 from .common import ALNUM, Words, batch_rows, slices, stage
 
 #: Classes, and words of each, that the network predicts.
-CLASSES, PER_CLASS = 96, 96
+CLASSES, PER_CLASS = 80, 80
 NETWORK = CLASSES * PER_CLASS
 #: Words whose counts every task holds; those of all others are joined.
 KNOWN = 262_144
 SIDE = 3
 #: Context words with rows of their own; the others share HASHED rows.
-OWN, HASHED = 4096, 1024
+OWN, HASHED = 2048, 1024
 HIDDEN = 16
 ROUNDS = 4
 #: Places of a gradient step at most; so many steps for a slice of texts at least, if it has 256 places for each.
 BATCH, STEPS = 16384, 8
 RATE = 0.6
+HIGH = 60.0
 #: Weights that are averaged by one task.
 FAN = 16
+#: Words of one row of numbers, and of the places that a task holds at once; floats of one row of weights.
+WORDS, HELD_PLACES, FLOATS = 1 << 16, 1 << 19, 1 << 16
 #: Distinct words that a task counts at once.
 HELD_WORDS = 1_000_000
 #: Buckets of neighbours on each side by which words are dealt to classes: so many most frequent words, and hashes of the others.
@@ -57,7 +60,7 @@ class Table:
     """Numbers of 64-bit hashes: open addressing, looked up a whole array at a time."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.bits = max(8, int(len(hashes)).bit_length() + 2)
+        self.bits = max(8, int(len(hashes)).bit_length() + 1)
         self.mask = (1 << self.bits) - 1
         self.keys, self.numbers = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         at, left = self._slot(hashes), np.arange(len(hashes))
@@ -155,36 +158,70 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lens: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (lens, ids)], ["lens", "ids"])
+
         for batch in batches:
-            for _, data, offsets in slices(batch, size=4 << 20):
+            for _, data, offsets in slices(batch):
                 w = Words(data, offsets, ALNUM)
-                ids = known.value.ids(w.hashes).astype("<i4")
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w.counts.astype("<i4"), ids)], ["lens", "ids"])
+                lens.append(w.counts.astype("<i4"))
+                ids.append(known.value.ids(w.hashes).astype("<i4"))
+                if sum(map(len, ids)) >= WORDS:
+                    yield out()
+                    lens, ids = [], []
+        if lens:
+            yield out()
 
     return docs.select("text").mapInArrow(run, "lens binary, ids binary")
 
 
+def _rows(n: int, values: np.ndarray) -> pa.RecordBatch:
+    """What a task hands to summed()."""
+    values = values.astype(np.float32, copy=False)
+    pieces = [values[a : a + FLOATS].tobytes() for a in range(0, len(values), FLOATS)]
+    part, many = TaskContext.get().partitionId(), len(pieces)
+    return pa.RecordBatch.from_arrays([pa.array([part] * many, pa.int64()), pa.array(range(many), pa.int64()), pa.array([n] * many, pa.int64()), pa.array(pieces, pa.binary())], ["part", "piece", "n", "piece_values"])
+
+
+_ROWS = "part long, piece long, n long, piece_values binary"
+
+
 def summed(tasks: DataFrame, parts: int) -> tuple[int, np.ndarray] | None:
-    """Of (part, n, values as doubles or floats in bytes): the sum of n and of n * values / sum of n, FAN parts at a time. None without any n."""
+    """Of what tasks gave by _rows: the sum of n and of n * values / sum of n, FAN parts at a time. None without any n."""
 
     def mean(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("part").to_pylist(), table.column("n").to_pylist(), table.column("values").to_pylist(), strict=True))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "n", "piece_values")), strict=True))
         n = sum(k for _, k, _ in rows)
-        total = None
-        for _, k, raw in rows:
-            x = np.frombuffer(raw, np.float32) * np.float64(k / max(1, n))
-            total = x if total is None else total + x
-        return pa.table({"part": [rows[0][0] // FAN], "n": [n], "values": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(raw, np.float32) * np.float64(k / max(1, n)) for _, k, raw in rows)
+        return pa.table({"part": [rows[0][0] // FAN], "piece": [table.column("piece")[0].as_py()], "n": [n], "piece_values": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     while True:
-        tasks = tasks.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(mean, "part long, n long, values binary")
+        tasks = tasks.groupBy(F.floor(F.col("part") / FAN).alias("parts"), "piece").applyInArrow(mean, _ROWS)
         parts = -(-parts // FAN)
         if parts <= 1:
             break
-    found = tasks.collect()  # one row
+    found = sorted(tasks.collect(), key=lambda r: r["piece"])  # one array in all
     if not found or not found[0]["n"]:
         return None
-    return found[0]["n"], np.frombuffer(found[0]["values"], np.float32)
+    return found[0]["n"], np.concatenate([np.frombuffer(r["piece_values"], np.float32) for r in found])
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, lens) of encoded texts, some rows together."""
+    lens: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            lens.append(np.frombuffer(a, "<i4"))
+            ids.append(np.frombuffer(b, "<i4"))
+            if sum(map(len, ids)) >= HELD_PLACES:
+                yield np.concatenate(ids), np.concatenate(lens)
+                lens, ids = [], []
+    if lens:
+        yield np.concatenate(ids), np.concatenate(lens)
 
 
 def deal_classes(v: Vocabulary, encoded: DataFrame, parts: int) -> Vocabulary:
@@ -193,18 +230,16 @@ def deal_classes(v: Vocabulary, encoded: DataFrame, parts: int) -> Vocabulary:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * wide)
-        for batch in batches:
-            for lens, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lens, ids = np.frombuffer(lens, "<i4"), np.frombuffer(ids, "<i4")
-                bucket = np.where(ids < NEAR, ids, NEAR + ids % FAR)
-                of = np.repeat(np.arange(len(lens)), lens)
-                beside = of[1:] == of[:-1]
-                for target, other, side in ((ids[:-1], bucket[1:], 0), (ids[1:], bucket[:-1], NEAR + FAR)):
-                    keep = beside & (target < size)
-                    total += np.bincount(target[keep].astype(np.int64) * wide + other[keep] + side, minlength=size * wide)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([1]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "n", "values"])
-
-    found = summed(encoded.mapInArrow(near, "part long, n long, values binary"), parts) if size else None
+        for ids, lens in _numbers(batches):
+            bucket = np.where(ids < NEAR, ids, NEAR + ids % FAR)
+            of = np.repeat(np.arange(len(lens)), lens)
+            beside = of[1:] == of[:-1]
+            for target, other, side in ((ids[:-1], bucket[1:], 0), (ids[1:], bucket[:-1], NEAR + FAR)):
+                keep = beside & (target < size)
+                total += np.bincount(target[keep].astype(np.int64) * wide + other[keep] + side, minlength=size * wide)
+        yield _rows(1, total)
+
+    found = summed(encoded.mapInArrow(near, _ROWS), parts) if size else None
     place = np.arange(size)
     if found is not None:
         x = np.sqrt(found[1].reshape(size, wide).astype(np.float64))
@@ -271,6 +306,23 @@ def hidden(theta: list[np.ndarray], places: Places, at: np.ndarray) -> tuple[np.
     return np.maximum(h, 0, out=h), around
 
 
+def softmax(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Of each row, in place. Logits end at HIGH, so that no sum overflows."""
+    z += bias
+    np.minimum(z, HIGH, out=z)
+    np.exp(z, out=z)
+    z *= (1 / z.sum(1))[:, None]
+    return z
+
+
+def log_softmax(z: np.ndarray, bias: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Of one place in each row; z is overwritten."""
+    z += bias
+    np.minimum(z, HIGH, out=z)
+    hit = z[np.arange(len(z)), of]
+    return hit - np.log(np.exp(z, out=z).sum(1))
+
+
 def descend(theta: np.ndarray, squares: np.ndarray, places: Places, at: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on masked places, in place."""
     at = at[np.argsort(places.word_class[at], kind="stable")]
@@ -279,10 +331,7 @@ def descend(theta: np.ndarray, squares: np.ndarray, places: Places, at: np.ndarr
     n = len(at)
     of, word = places.word_class[at], places.word[at]
     h, around = hidden(parts, places, at)
-    z = h @ u + c
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z = softmax(h @ u, c)
     z[np.arange(n), of] -= 1
     gh = z @ u.T
 
@@ -298,10 +347,7 @@ def descend(theta: np.ndarray, squares: np.ndarray, places: Places, at: np.ndarr
         if k == CLASSES:
             continue
         some = slice(edge[k], edge[k + 1])
-        p = h[some] @ w[k].T + d[k]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        p = softmax(h[some] @ w[k].T, d[k])
         p[np.arange(len(p)), word[some]] -= 1
         gh[some] += p @ w[k]
         step(w[k], sums[4][k], p.T @ h[some])
@@ -327,18 +373,12 @@ def log_probabilities(theta: np.ndarray, places: Places) -> np.ndarray:
         at = at[np.argsort(places.word_class[at], kind="stable")]
         of, word = places.word_class[at], places.word[at]
         h, _ = hidden(parts, places, at)
-        z = h @ u + c
-        z -= z.max(1, keepdims=True)
-        hit = z[np.arange(len(at)), of]
-        found = hit - np.log(np.exp(z, out=z).sum(1))
+        found = log_softmax(h @ u, c, of)
         edge = np.searchsorted(of, np.arange(CLASSES + 1))
         for k in np.unique(of).tolist():
             if k < CLASSES:
                 some = slice(edge[k], edge[k + 1])
-                p = h[some] @ w[k].T + d[k]
-                p -= p.max(1, keepdims=True)
-                hit = p[np.arange(len(p)), word[some]]
-                found[some] += hit - np.log(np.exp(p, out=p).sum(1))
+                found[some] += log_softmax(h[some] @ w[k].T, d[k], word[some])
         out[at] = found
     return out
 
@@ -356,16 +396,15 @@ def train(encoded: DataFrame, v: Vocabulary, parts: int, rounds: int = ROUNDS) -
             weights = start.value.copy()
             squares, done = np.full_like(weights, 1e-4), 0
             r = np.random.default_rng(turn)
-            for batch in batches:
-                for lens, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    places = Places(np.frombuffer(ids, "<i4"), np.frombuffer(lens, "<i4"), known.value)
-                    masked = r.permutation(np.flatnonzero(places.number % rounds == turn))
-                    for some in np.array_split(masked, max(-(-len(masked) // BATCH), min(STEPS, -(-len(masked) // 256)))) if len(masked) else ():
-                        descend(weights, squares, places, some, rate)
-                    done += len(masked)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([done]), pa.array([weights.tobytes()], pa.binary())], ["part", "n", "values"])
-
-        found = summed(encoded.mapInArrow(local, "part long, n long, values binary"), parts)
+            for ids, lens in _numbers(batches):
+                places = Places(ids, lens, known.value)
+                masked = r.permutation(np.flatnonzero(places.number % rounds == turn))
+                for some in np.array_split(masked, max(-(-len(masked) // BATCH), min(STEPS, -(-len(masked) // 256)))) if len(masked) else ():
+                    descend(weights, squares, places, some, rate)
+                done += len(masked)
+            yield _rows(done, weights)
+
+        found = summed(encoded.mapInArrow(local, _ROWS), parts)
         if found is not None:
             theta = found[1].copy()
         start.unpersist()
