@@ -328,11 +328,6 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) > 200
 
 
-def test_license_keywords_are_necessary():
-    for _, _, key, _, _, pattern in license_scan.rules():
-        assert key.split()[0] in pattern or key.endswith("licen"), (key, pattern)
-
-
 def examples(pattern):
     """A text for every alternative of a rule's pattern, with its optional parts and without them."""
 
@@ -366,22 +361,23 @@ def examples(pattern):
 def test_license_gate_passes_every_match(spark):
     every = [(rule, x) for rule in license_scan.rules() for x in examples(rule[5])]
     assert all(re.search(f"(?<= )(?:{rule[5]})(?= )", f" {x} ") for rule, x in every)
-    assert [x for _, x in every if not re.search(license_scan.GATE, x + " ") and not re.search(license_scan.GATE, x)] == []
-    alone = ["Released under the MIT", "published under CC BY 4.0.", "AVAILABLE\nunder Creative Commons Attribution", "(Distributed only -- under: Apache 2.0)", "covered by zlib", "released by nobody"]
-    got = {x.doc_id: x for x in license_scan.scan(docs_of(spark, list(enumerate(alone)))).collect()}
-    for i, text in enumerate(alone):
+    assert [(rule[1], x) for rule, x in every if not set(rule[2]) <= set(x.split())] == []
+    some = [x for _, x in every][::7]
+    got = {x.doc_id: x for x in license_scan.scan(docs_of(spark, list(enumerate(some)))).collect()}
+    for i, text in enumerate(some):
         assert [(d.start, d.end, d.priority, d.rule, d.label) for d in got[i].detections] == brute_detections(text), text
-    assert [got[i]["labels"] for i in range(6)] == ["mit", "cc-by-4.0", "cc-by-4.0", "apache-2.0", "zlib", ""] and got[1].score == 0.95
+        assert got[i]["labels"] and got[i].score > 0
+    alone = ["Released under the MIT.", "published under CC BY 4.0.", "AVAILABLE\nunder Creative Commons Attribution", "(Distributed only -- under: Apache 2.0)", "covered by zlib", "released by nobody", "FreeBSD license", "PSF License", "do what the fuck you want to public license", "beerware license", "beer ware licence"]
+    got = {x.doc_id: x for x in license_scan.scan(docs_of(spark, list(enumerate(alone)))).collect()}
+    assert [got[i]["labels"] for i in range(len(alone))] == ["mit", "cc-by-4.0", "cc,cc-by", "apache-2.0", "zlib", "", "bsd-2-clause", "python-2.0", "wtfpl", "beerware", "beerware"] and got[0].score == 0.95
+    assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
-def test_license_keywords_pass_every_alternative(spark):
-    lost = [(rule[1], x) for rule in license_scan.rules() for x in examples(rule[5]) if not any(key in f" {x} " for key in license_scan.needles(rule[2]))]
-    assert lost == []
-    alone = ["FreeBSD license", "PSF License", "do what the fuck you want to public license", "beerware license", "beer ware licence", "licensed under the freebsd"]
-    got = {x.doc_id: x for x in license_scan.scan(docs_of(spark, list(enumerate(alone)))).collect()}
-    for i, text in enumerate(alone):
-        assert [(d.start, d.end, d.priority, d.rule, d.label) for d in got[i].detections] == brute_detections(text), text
-    assert [got[i]["labels"] for i in range(6)] == ["bsd-2-clause", "python-2.0", "wtfpl", "beerware", "beerware", "bsd-2-clause"]
+def test_license_many_matches(spark):
+    text = "MIT license, apache license. all rights reserved; " * 400
+    x = license_scan.scan(docs_of(spark, [(1, text)])).first()
+    assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == brute_base(text)
+    assert [(d.start, d.end, d.priority, d.rule, d.label) for d in x.detections] == brute_detections(text)
 
 
 # -- 6 ----------------------------------------------------------------------------------------------------------------
