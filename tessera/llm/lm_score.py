@@ -40,13 +40,13 @@ OWN, HASHED = 2048, 1024
 HIDDEN = 16
 ROUNDS = 4
 #: Places of a gradient step at most; so many steps for a slice of texts at least, if it has 256 places for each.
-BATCH, STEPS = 16384, 8
+BATCH, STEPS = 16384, 16
 RATE = 0.6
 HIGH = 60.0
 #: Weights that are averaged by one task.
 FAN = 16
 #: Words of one row of numbers, and of the places that a task holds at once; floats of one row of weights.
-WORDS, HELD_PLACES, FLOATS = 1 << 16, 1 << 19, 1 << 16
+WORDS, HELD_PLACES, FLOATS = 1 << 16, 1 << 20, 1 << 16
 #: Distinct words that a task counts at once.
 HELD_WORDS = 1_000_000
 #: Buckets of neighbours on each side by which words are dealt to classes: so many most frequent words, and hashes of the others.
@@ -283,15 +283,13 @@ class Places:
     """The words of some texts, with the context rows around each, and their class and number in it (class CLASSES: not of the network)."""
 
     def __init__(self, ids: np.ndarray, lens: np.ndarray, v: Vocabulary) -> None:
-        of = np.repeat(np.arange(len(lens)), lens)
+        every = np.arange(len(ids), dtype=np.int32)
         self.padded = np.full(len(ids) + SIDE * (len(lens) + 1), _PAD, np.int32)
-        self.at = np.arange(len(ids)) + SIDE * (of + 1)
+        self.at = every + SIDE * (np.repeat(np.arange(len(lens), dtype=np.int32), lens) + 1)
         self.padded[self.at] = context_rows(ids)
-        self.number = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)  # in its document
-        place = np.full(len(ids), NETWORK)
-        inside = ids < len(v.place)
-        place[inside] = v.place[ids[inside]]
-        self.word_class, self.word = (place // PER_CLASS).astype(np.uint8), place % PER_CLASS
+        self.number = every - np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)  # in its document
+        place = np.append(v.place, NETWORK).astype(np.int32)[np.minimum(ids, len(v.place))]
+        self.word_class, self.word = (place // PER_CLASS).astype(np.uint8), (place % PER_CLASS).astype(np.uint8)
 
 
 def hidden(theta: list[np.ndarray], places: Places, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
