@@ -33,21 +33,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, payload_digest: str) -> str:
-    """The same for the same id and payload, whoever writes it."""
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{payload_digest}')}>"
+def record_id(page_id: int | None, payload_digest: str, copy: int = 0) -> str:
+    """The same for the same id and payload, whoever writes it; further copies have numbers."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{payload_digest}' + f'/{copy}' * (copy > 0))}>"
 
 
 def _line(text: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, kind: str, date: str) -> bytes:
+def member(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, kind: str, date: str, copy: int = 0) -> bytes:
     """One record as a gzip member; a revisit has the HTTP header alone as its block."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if kind == "response":
         block += payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, payload_digest)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, payload_digest, copy)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_line(url)}")
     if page_id is not None:
@@ -124,16 +124,29 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = 0, date: str =
     """Write pages (page_id, url, html; more columns are not written) as archives in folder; returns path, records, bytes of each.
 
     A null html is an empty payload, a null url has no Target-URI. Of equal payloads of at least min_revisit bytes the
-    largest page_id is the response (a null id is smaller than all; rows that tie at the largest id all are responses),
-    the others are revisits of it; smaller payloads are all responses. No rows make no archives.
+    largest page_id is the response (a null id is smaller than all; of rows that tie at the largest id one is),
+    the others are revisits of it; smaller payloads are all responses. Record ids differ between records. No rows make no archives.
     """
     spark: SparkSession = pages.sparkSession
     batch_rows(spark, 1000)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     # only payloads that repeat need the join's other side: the row with the largest id answers for the others
-    first = rows.where(F.length("payload") >= min_revisit).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = stage(first, "warc-repeats")  # so that both sides of the join are shuffled for it, and hot digests can be split
-    joined = rows.join(first, "sha1", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    known = rows.where(F.length("payload") >= min_revisit).groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
+    first = known.groupBy("sha1").agg(F.max_by(F.struct("page_id", "n"), F.struct(F.col("page_id").isNotNull(), "page_id")).alias("m"), F.sum("n").alias("n")).where("n > 1")
+    first = stage(first.select("sha1", F.col("m.page_id").alias("first"), (F.col("m.n") > 1).alias("tied")), "warc-repeats")  # so that both sides of the join are shuffled for it, and hot digests can be split
+    joined = rows.join(first, "sha1", "left").withColumn("revisit", F.col("tied").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    joined = joined.select("page_id", "url", "payload", "sha1", "first", "revisit", F.coalesce(F.col("tied") & ~F.col("revisit"), F.lit(False)).alias("tied"), F.lit(0).cast("long").alias("copy"))
+    repeats = known.where("n > 1").limit(1).count()
+    if repeats:
+        # rows of one id and payload are numbered once written; number 0 is the response, if it is one at all
+        again = known.where("n > 1").select("sha1", "page_id")
+        same = [joined["sha1"] == again["sha1"], joined["page_id"].eqNullSafe(again["page_id"])]
+        twice = stage(joined.join(again, same, "left_semi").withColumn("copy", F.monotonically_increasing_id()), "warc-twice")
+        least = twice.groupBy("sha1", "page_id").agg(F.min("copy").alias("least")).select(F.col("sha1").alias("s"), F.col("page_id").alias("p"), "least")
+        twice = twice.join(least, (F.col("sha1") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")))
+        other = F.col("copy") != F.col("least")
+        twice = twice.withColumn("revisit", F.col("revisit") | F.col("tied") & other).withColumn("copy", F.when(other, F.col("copy") + 1).otherwise(0)).select(*joined.columns)
+        joined = joined.join(again, same, "left_anti").unionByName(twice)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -144,16 +157,16 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = 0, date: str =
 
         def close() -> None:
             sink.close()
-            name = f"part-{task.partitionId():05d}-{len(done):03d}.warc.gz"
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done):03d}.warc.gz"  # attempts of a task write apart; the index has those of the one that counts
             fs.move(own, f"{root}/{name}")
             done.append((f"{folder}/{name}", records, size))
 
         for batch in batches:
-            for page_id, url, payload, first, revisit in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for page_id, url, payload, first, revisit, copy in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if sink is None:
                     own, records, size = f"{root}/.{uuid.uuid4().hex}", 0, 0
                     sink = fs.open_output_stream(own)
-                data = member(page_id, url, payload, digest(payload), first, "revisit" if revisit else "response", date)
+                data = member(page_id, url, payload, digest(payload), first, "revisit" if revisit else "response", date, copy)
                 sink.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= archive_bytes:
@@ -163,7 +176,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit: int = 0, date: str =
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    written = joined.select("page_id", "url", "payload", "first", "revisit").mapInArrow(write, "path string, records long, bytes long")
+    written = joined.select("page_id", "url", "payload", "first", "revisit", "copy").mapInArrow(write, "path string, records long, bytes long")
     return stage(written, "warc-index")
 
 
@@ -207,7 +220,7 @@ def read_warc(archives: DataFrame, tasks: int | None = None, payloads: bool = Tr
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows each get a record and a row."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, read back from the archives. Repeated rows each get a record and a row; a null html is empty, a null page_id stays null."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     archives = write_warc(pages, fresh_dir(spark, "warc"))
     records = stage(read_warc(archives, payloads=False), "warc-records")
@@ -229,9 +242,9 @@ e AS (
   SELECT page_id, n, h,
          list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS x,
-         max(page_id) OVER (PARTITION BY h) AS m FROM d)
+         max(page_id) OVER (PARTITION BY h) AS m, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS k FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, x AS payload_digest,
-       CASE WHEN m IS NULL OR page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN m IS NULL OR page_id = m THEN NULL ELSE m END AS refers_to
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k = 1 THEN NULL ELSE m END AS refers_to
 FROM e
 """

@@ -262,10 +262,11 @@ def test_warc_round_trip(spark):
     responses = {(x.page_id, bytes(x.payload).decode()) for x in got if x.record_type == "response"}
     assert responses == {(2, "<p>é</p>"), (4, ""), (5, "z" * 100_000)}
     ids = {x.record_id: x for x in got if x.record_type == "response"}
-    assert {(x.page_id, ids[x.refers_to_record].page_id) for x in got if x.record_type == "revisit"} == {(1, 2), (None, 2), (3, 4)}
+    assert {(x.page_id, ids[x.refers_to_record].page_id) for x in got if x.record_type == "revisit"} == {(1, 2), (None, 2), (3, 4), (5, 5)}
+    assert len({x.record_id for x in got}) == len(got) and sum(x.record_type == "response" for x in got) == 3
     assert all(x.payload_digest == base64.b32encode(hashlib.sha1(x.payload).digest()).decode() for x in got if x.payload is not None)
     again = warc.read_warc(warc.write_warc(pages, fresh_dir(spark, "warc"), min_revisit=1000)).collect()
-    assert sum(x.record_type == "revisit" for x in again) == 0
+    assert [x.page_id for x in again if x.record_type == "revisit"] == [5]  # the only payload of so many bytes that repeats
     assert warc.read_warc(warc.write_warc(pages.limit(0), fresh_dir(spark, "warc"))).count() == 0
 
 
@@ -380,6 +381,20 @@ def test_license_many_matches(spark):
     assert [(d.start, d.end, d.priority, d.rule, d.label) for d in x.detections] == brute_detections(text)
 
 
+def test_html_drops_nothing_of_the_article(spark):
+    inner = "<h1>Title of it</h1><p>One sentence with <math><mi>x</mi><mo>+</mo><mn>1</mn></math> inside it, and more words.<p>Second <svg><text>label</text></svg> part of the text goes on here.<noscript><p>Shown without scripts, a sentence.</p></noscript><object data=x>An object that has a text instead of it.<p>Third paragraph after an object that never ends."
+    page = f"<html><body><nav><a href=/>Home</a></nav><article>{inner}</article><footer>&copy; x</footer></body></html>"
+    got = html_extract.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first().text
+    assert got == "Title of it\nOne sentence with x+1 inside it, and more words.\nSecond label part of the text goes on here.\nShown without scripts, a sentence.\nAn object that has a text instead of it.\nThird paragraph after an object that never ends."
+
+
+def test_html_query(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "<article><p>A first sentence, long enough.</p></article>"), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = html_extract.op4_html(spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((x.page_id or 0, x.text, x.n_chars) for x in got.collect()) == [(0, "", 0), (1, "A first sentence, long enough.", 30), (2, "", 0), (2, "", 0)]
+
+
 # -- 6 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -485,6 +500,22 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, *toxicity.train(docs, one)).first().predicted == 0
 
 
+def test_warc_query(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(r.randrange(30), f"http://x/{i}", r.choice([None, "", "a", "bb" * 50, "é"])) for i in range(80)] + [(None, None, "only nulls"), (None, "u", "only nulls")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op2_warc(spark, str(tmp_path)).collect()
+    want = []
+    for payload in {x[2] or "" for x in rows}:
+        same = sorted((x[0] for x in rows if (x[2] or "") == payload), key=lambda i: -1 if i is None else i)
+        raw = payload.encode()
+        sha = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want += [(i, len(raw), sha, "revisit", same[-1]) for i in same[:-1]] + [(same[-1], len(raw), sha, "response", None)]
+    assert sorted(map(repr, want)) == sorted(repr((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to)) for x in got)
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert warc.op2_warc(spark, f"{tmp_path}/none").count() == 0
+
+
 # -- 4 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -519,3 +550,38 @@ def test_html_frames(spark):
     text = {x.page_id: x.text for x in got}
     assert text[1] == "Big & small\nFirst bold, here is a sentence <x>.\nSecond one here is a longer sentence."
     assert text[2] == text[3] == "" and len(got) == 6 and all(x.n_chars == len(x.text) for x in got)
+
+
+def test_toxicity_and_other_queries_have_the_contract_columns(spark, tmp_path):
+    long_text = " ".join(f"v{i % 3000} MIT License" for i in range(20_000))
+    rows = [(i, f"document {i} released under the mit license") for i in range(60)] + [(60, None), (61, ""), (61, ""), (None, "x"), (62, long_text)]
+    docs_of(spark, rows).withColumn("labels", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "document 5 released under the mit license")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = str(tmp_path)
+    five = license_scan.op5_license_scan(spark, at)
+    assert five.dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_base", "bigint"), ("first_word", "bigint"), ("last_word", "bigint"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
+    got = {x.doc_id: x for x in five.collect()}
+    assert (got[62].n_words, got[62].n_base, got[62].first_word, got[62].last_word) == (60_000, 20_000, 1, 59_998)
+    six = sentencepiece.op6_sentencepiece(spark, at).collect()
+    assert len(six) == len(rows)
+    eight = decontaminate.op8_decontaminate(spark, at)
+    assert eight.columns[:6] == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert {x.doc_id: (x.n_hit, x.contaminated, x.items_sha256) for x in eight.collect()}[5] == (7, True, hashlib.sha256(b"1").hexdigest())
+    ten = sharding.op10_sharding(spark, at)
+    assert ten.dtypes[:7] == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    ten = ten.collect()
+    assert len(ten) == len(rows) and all(0 <= x.shard < 40 for x in ten)
+    for k in {x.shard for x in ten}:
+        assert sorted(x.slot for x in ten if x.shard == k) == list(range(sum(x.shard == k for x in ten)))
+
+
+def test_sharding_of_large_groups(spark):
+    r = random.Random(6)
+    rows = [(i, int(r.paretovariate(0.8) * 1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, size long")
+    got = sharding.shard_groups(df, F.col("k"), F.col("size"), ["k"], 7).collect()
+    loads = Counter()
+    for x in got:
+        loads[x.shard] += x["size"]
+    total, top = sum(s for _, s in rows), max(s for _, s in rows)
+    assert max(loads.values()) <= max(top, total / 7 * 1.01 + 2) and len(got) == 3000
