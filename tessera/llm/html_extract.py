@@ -25,9 +25,9 @@ from .common import batch_rows, slices
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes noembed xmp svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img button input select option optgroup".split())
+RAW = frozenset("script style textarea title template iframe noframes noembed xmp".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+BLOCK = CLOSES_P | frozenset("article body caption col colgroup dd dt frameset head html legend li link meta nav noframes tbody td template textarea tfoot th thead title tr script style base".split())
 #: An element of the key ends open elements of the value, up to the container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -84,7 +84,7 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, float]]:
         for _ in range(count):
             tag, path = stack.pop()
             in_link -= tag == "a"
-        block = next((t for t, _ in reversed(stack) if t not in INLINE), "body")
+        block = next((t for t, _ in reversed(stack) if t in BLOCK), "body")
 
     at, size = 0, len(page)
     for token in iter(lambda: _TOKEN.search(page, at), None):
@@ -98,7 +98,7 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, float]]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag not in INLINE:
+        if tag in BLOCK:
             flush()
         elif tag == "br":
             parts.append(" ")
@@ -126,7 +126,7 @@ def blocks(page: str, paths: Paths) -> list[tuple[str, int, str, float]]:
         stack.append((tag, path))
         path = paths.down(path, tag, attributes)
         in_link += tag == "a"
-        if tag not in INLINE:
+        if tag in BLOCK:
             block = tag
     if at < size:
         text = page[at:]
@@ -245,6 +245,8 @@ def labelled_page(r: random.Random) -> str:
         body = f"<main>{inner}</main>"
     else:
         body = inner
+    if r.random() < 0.1:  # nothing but the article
+        return f"<html><body>{body}</body></html>" if r.random() < 0.5 else body
     body = (junk("header") if r.random() < 0.5 else "") + (junk("nav") if r.random() < 0.8 else "") + pick(0.7) + body + (junk("comments") if r.random() < 0.4 else "") + pick(0.7) + (junk("footer") if r.random() < 0.85 else "")
     if r.random() < 0.3:
         body = f'<div class="{r.choice(["wrapper", "container", "page", "site"])}">{body}</div>'
@@ -371,7 +373,7 @@ class Extractor:
 def extract(pages: DataFrame, column: str = "html", field: Field | None = None) -> DataFrame:
     """Every row of pages with text (the article's blocks, joined by line feeds) and n_chars (its code points); the page's own column is left out.
 
-    A null or empty page, or one without an article, has an empty text. Character references are decoded, white space (that of
+    A null or empty page, or one without an article, has an empty text; repeated rows each have a row, no rows give none. Character references are decoded, white space (that of
     str.split, no-break spaces too) inside a block becomes one space. Columns of pages named text or n_chars are replaced.
     """
     spark: SparkSession = pages.sparkSession
@@ -392,4 +394,5 @@ def extract(pages: DataFrame, column: str = "html", field: Field | None = None)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page; null and empty pages have an empty text."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
