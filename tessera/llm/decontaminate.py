@@ -7,7 +7,8 @@ the prefix shingles alone; a hit at word i that is the window's shingle number j
 which must lie inside the document (length and positional bounds); then all words of the window are compared.
 
 Benchmark items go to the executors in blocks of a bounded number of words, one broadcast each: a larger
-benchmark makes more blocks, never a larger one. Documents are not shuffled; each keeps its row.
+benchmark makes more blocks, never a larger one, and what one has found is written before the next goes out. Documents are
+not shuffled; each keeps its row.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, batch_rows, list_array, ragged, run_hash, slices, utf8
+from .common import ALNUM, Words, batch_rows, drop, list_array, ragged, run_hash, slices, stage, utf8
 
 #: Consecutive words that are looked up first; a window shorter than this is its own shingle.
 SHINGLE = 3
@@ -194,19 +195,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     kept = [c for c in docs.columns if c not in new and c != text]
     rest = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None).cast("string")
     held = docs.select(rest.alias("_row"), F.col(f"`{text}`").cast("string").alias("text"))
-    out = held
+    out, sent, before = held, None, None
     for ids, words, bounds in _blocks(benchmark, block_words):
+        if sent is not None:  # what the block before has found is written, so that one block is held at a time
+            out, old = stage(out, "found"), before
+            before = out
+            sent.destroy()
+            if old is not None:
+                drop(old)
         block = Windows(ids, words, bounds, n)
-        counts = _counts(held, spark.sparkContext.broadcast(block), block.keys)
+        keys = spark.sparkContext.broadcast(block)
+        counts = _counts(held, keys, block.keys)
+        keys.destroy()
         block.prefix(counts)
-        out = _probe(out, spark.sparkContext.broadcast(block))
-    if out is held:
+        sent = spark.sparkContext.broadcast(block)
+        out = _probe(out, sent)
+    if sent is None:
         out = _probe(held, None)
     back = [F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
     return out.select(*back, "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), "spans")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, repeated rows each; null and empty texts have no words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
