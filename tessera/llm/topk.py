@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh_dir, stage
 
 BINS = 2048
 #: Most vector components in one block of queries: 4M are 32 MB.
@@ -102,7 +102,7 @@ def _kth(candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, reach: i
         need[at] = row["need"].to_numpy()
         span[at] = np.minimum(bin_width[at], span[at])
         open_[at] = span[at] > 1
-        held.unpersist()
+        held.destroy()
     return lo, need
 
 
@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_values: int = Q
     held = stage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null").withColumn("width", F.size("v")), "vectors")
     # |score| is at most the product of the largest lengths
     widths = held.groupBy("width").agg(F.max(F.aggregate("v", F.lit(0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm")).orderBy("width").collect()  # a row for each length of a vector
-    found = None
+    folder, solved = fresh_dir(spark, "best"), 0
     for width, norm in widths:
         candidates = held.where(F.col("width") == width).select("vec_id", "v")
         queries = candidates.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id")
@@ -126,7 +126,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_values: int = Q
         ids, rows = [], []
         block = max(1, min(QUERIES, query_values // max(1, width)))
 
-        def solve(ids: list[int], rows: list[list[int]]) -> DataFrame:
+        def solve(ids: list[int], rows: list[list[int]]) -> None:
+            """Writes what a block of queries finds; nothing of it stays with driver or executors."""
+            nonlocal solved
             i, q = np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(ids), width)
             least, need = _kth(candidates, i, q, k, reach)
             held = spark.sparkContext.broadcast((i, q, least, need))
@@ -145,21 +147,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_values: int = Q
                 out.append((i[a], c, least[a]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-            return candidates.mapInArrow(keep, "query_id long, vec_id long, score long")
+            candidates.mapInArrow(keep, "query_id long, vec_id long, score long").write.mode("append").parquet(folder)
+            held.destroy()
+            solved += 1
 
-        parts = []
         for row in queries.toLocalIterator():
             ids.append(row["vec_id"])
             rows.append(row["v"])
             if len(ids) == block:
-                parts.append(solve(ids, rows))
+                solve(ids, rows)
                 ids, rows = [], []
         if ids:
-            parts.append(solve(ids, rows))
-        for part in parts:
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+            solve(ids, rows)
+    kind = "query_id long, vec_id long, score long"
+    found = spark.read.schema(kind).parquet(folder) if solved else spark.createDataFrame([], kind)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -176,6 +177,7 @@ def _fewest(ties: list[tuple[np.ndarray, np.ndarray]], need: np.ndarray) -> tupl
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the five best candidates of each vec_id divisible by 50; nulls, repeats and ties as in top_k."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), k=5, every=50)
 
 
