@@ -70,7 +70,7 @@ def shard_groups(rows: DataFrame, group: Column, size: Column, order: list[str],
     """
     spark: SparkSession = rows.sparkSession
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
-    key = F.coalesce(F.unhex(F.sha2(group.cast("binary"), 256)), F.lit(b"\x00").cast("binary"))
+    key = F.coalesce(F.unhex(F.sha2(group.cast("string").cast("binary"), 256)), F.lit(b"\x00").cast("binary"))
     slim = stage(rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), key.alias("_key"), F.coalesce(size.cast("long"), F.lit(0)).alias("_size")), "shard-rows")
     buckets = max(BUCKETS, slim.count() // BUCKET_ROWS)
     more = F.greatest(F.length(F.bin("_total")) - BITS, F.lit(0))
