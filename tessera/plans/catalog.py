@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import analyses, graphs, lexicons, matches, ranks, reviews, streams, supplies, texts  # noqa: F401
+from . import analyses, graphs, lanes, lexicons, matches, ranks, reviews, streams, supplies, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
