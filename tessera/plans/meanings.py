@@ -76,10 +76,10 @@ def task_graph_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Fragments: the target of every condition; tasks: the executable propositions.
-_FRAGMENT = f"""WITH {_P}, f AS (SELECT utt, prop_id AS fragment_id, lower(target) AS f, CASE WHEN strpos(substr(text, s + 1, e - s), target) > 0 THEN s + strpos(substr(text, s + 1, e - s), target) - 1 ELSE strpos(text, target) - 1 END AS at FROM p WHERE intent = 'condition'),
+_FRAGMENT = f"""WITH {_P}, f AS (SELECT utt, prop_id AS fragment_id, lower(target) AS f, CASE WHEN strpos(substr(text, s + 1, e - s), target) > 0 THEN s + strpos(substr(text, s + 1, e - s), target) - 1 ELSE strpos(text, target) - 1 END AS pl FROM p WHERE intent = 'condition'),
   k AS (SELECT utt, prop_id AS task_id, intent, lower(target) AS t, lower(substr(text, s + 1, e - s)) AS src, s, e FROM p WHERE executable),
-  m AS (SELECT utt, fragment_id, arg_min(task_id, (-score, d, s, task_id)) AS task_id, CAST(max(score) AS INTEGER) AS score FROM (SELECT f.utt, fragment_id, task_id, s, abs(s - greatest(at, 0)) AS d,
-    CASE WHEN t = f THEN 100 WHEN t <> '' AND (contains(t, f) OR contains(f, t)) THEN 60 ELSE 0 END + CASE WHEN contains(src, f) THEN 40 ELSE 0 END + CASE WHEN at >= 0 AND s < at + length(f) AND at < e THEN 80 ELSE 0 END - CASE WHEN intent = 'request' THEN 20 ELSE 0 END AS score
+  m AS (SELECT utt, fragment_id, arg_min(task_id, (-score, d, s, task_id)) AS task_id, CAST(max(score) AS INTEGER) AS score FROM (SELECT f.utt, fragment_id, task_id, s, abs(s - greatest(pl, 0)) AS d,
+    CASE WHEN t = f THEN 100 WHEN t <> '' AND (contains(t, f) OR contains(f, t)) THEN 60 ELSE 0 END + CASE WHEN contains(src, f) THEN 40 ELSE 0 END + CASE WHEN pl >= 0 AND s < pl + length(f) AND pl < e THEN 80 ELSE 0 END - CASE WHEN intent = 'request' THEN 20 ELSE 0 END AS score
     FROM f JOIN k USING (utt)) WHERE score > 0 GROUP BY utt, fragment_id)"""
 
 
@@ -95,7 +95,7 @@ def fragment_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return _matched(spark, sf)[0]
 
 
-_NEXT = "r AS (SELECT utt, fragment_id AS first, lead(fragment_id) OVER (PARTITION BY utt ORDER BY at, fragment_id) AS second FROM f)"
+_NEXT = "r AS (SELECT utt, fragment_id AS first, lead(fragment_id) OVER (PARTITION BY utt ORDER BY pl, fragment_id) AS second FROM f)"
 
 
 @query("typed_task_edges", f"{_FRAGMENT}, {_NEXT}, l AS (SELECT utt, max(fragment_id) AS second FROM f GROUP BY utt) SELECT DISTINCT utt, src, dst FROM (SELECT r.utt, a.task_id AS src, b.task_id AS dst FROM r JOIN m a ON a.utt = r.utt AND a.fragment_id = r.first JOIN m b ON b.utt = r.utt AND b.fragment_id = r.second UNION ALL SELECT l.utt, x.task_id, m.task_id FROM l JOIN m ON m.utt = l.utt AND m.fragment_id = l.second JOIN k y ON y.utt = l.utt AND y.task_id = m.task_id JOIN k x ON x.utt = l.utt AND x.s < y.s) WHERE src <> dst")
