@@ -75,17 +75,33 @@ def strip_markup(x: Column, rounds: int = 1) -> Column:
     return collapse(x)
 
 
-def spans(x: Column, pattern: str) -> Column:
-    """Every match as (start, end, surface), [start, end) in code points."""
-    pairs = F.arrays_zip(F.split(x, pattern, -1).alias("gap"), F.regexp_extract_all(x, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,surface:string>>")
+#: Elements that running() sums together.
+CHUNK = 64
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("surface")))).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+def running(xs: Column) -> Column:
+    """The sum of all before each element of an array of ints. Taken chunk by chunk, so that a long array costs no square of its length; null for an empty one."""
+
+    def scan(part: Column) -> Column:
+        none = F.slice(F.array(F.lit(0)), 1, 0)
+        return F.aggregate(part, F.struct(F.lit(0).alias("sum"), none.alias("out")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda c: scan(F.slice(xs, c * CHUNK + 1, CHUNK)))
+    joined = F.arrays_zip(chunks.alias("chunk"), scan(F.transform(chunks, lambda c: c["sum"]))["out"].alias("first"))
+    return F.when(F.size(xs) > 0, F.flatten(F.transform(joined, lambda z: F.transform(z["chunk"]["out"], lambda x: z["first"] + x))))
+
+
+def spans(x: Column, pattern: str | Column) -> Column:
+    """Every match as (start, end, surface), [start, end) in code points; null for a null text."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits = F.regexp_extract_all(x, pattern, F.lit(0))
+    gaps = F.split(x, pattern, -1)
+    # a gap and the match after it are summed together; the last gap has no match
+    pairs = F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: F.struct(F.length(p["gap"]).alias("gap"), p["hit"].alias("hit")))
+    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    at = running(F.transform(pairs, lambda p: p["gap"] + F.length(p["hit"])))
+    placed = F.transform(F.arrays_zip(pairs.alias("p"), at.alias("at")), lambda z: F.struct((z["at"] + z["p"]["gap"]).alias("start"), (z["at"] + z["p"]["gap"] + F.length(z["p"]["hit"])).alias("end"), z["p"]["hit"].alias("surface")))
+    return F.when(F.size(hits) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,surface:string>>"))
 
 
 #: Ordered classes of names; the first that fits wins.

@@ -32,13 +32,13 @@ class Analysis:
     verdicts: DataFrame
 
 
-def analyze(utterances: DataFrame, rules: DataFrame, phrases: DataFrame, max_chars: int = 20_000) -> Analysis:
-    """Texts over max_chars are not analysed: their verdict has the reason TIMEOUT, as any size limit that is hit. Null and empty texts have no propositions and fail.
+def analyze(utterances: DataFrame, rules: DataFrame, phrases: DataFrame, max_chars: int | None = 20_000) -> Analysis:
+    """Texts over max_chars are not analysed: their verdict has the reason TIMEOUT, as any size limit that is hit (None: no limit). Null and empty texts have no propositions and fail.
 
     Without external, all is allowed and no reason given; status is FAILED without propositions, phrases or references, PARTIAL where something is
     open or blocked, else COMPLETE.
     """
-    docs = utterances.withColumn("timed_out", F.coalesce(F.length("text") > max_chars, F.lit(False)))
+    docs = utterances.withColumn("timed_out", F.lit(False) if max_chars is None else F.coalesce(F.length("text") > max_chars, F.lit(False)))
     small = docs.where("not timed_out").select("doc_id", "text", "known")
     clauses = stage(segment.clauses(small), "clauses")
     found = match.captures(match.dedup_intents(match.match_rules(clauses, rules)), rules)

@@ -67,14 +67,14 @@ def contradictions(propositions: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).where(near).select(key, "constraint_id", "constraint_kind", "action_id").distinct()
 
 
-#: Order of the checks; reasons are listed in it.
-REASONS = ["CONTRADICTORY", "TIMEOUT", "NON_EXECUTABLE_SPEECH_ACT", "NO_EXECUTABLE_ACTION", "QUOTED_ACTION", "INTERROGATIVE_ACTION", "AMBIGUOUS_ACTION_SENSE", "UNRESOLVED_SCOPE", "AMBIGUOUS_OR_INSUFFICIENT_REFERENCE", "CYCLIC_ACTION_GRAPH"]
+# Names of the reasons that callers rely on, in the order of the checks.
+REASONS = ["CONTRADICTORY", "TIMEOUT", "UNSUPPORTED", "NON_EXECUTABLE_SPEECH_ACT", "NO_EXECUTABLE_ACTION", "QUOTED_ACTION", "INTERROGATIVE_ACTION", "AMBIGUOUS_ACTION_SENSE", "UNRESOLVED_SCOPE", "AMBIGUOUS_OR_INSUFFICIENT_REFERENCE", "CYCLIC_ACTION_GRAPH"]
 
 
 def guard(docs: DataFrame, propositions: DataFrame, edges: DataFrame, conflicts: DataFrame, cyclic: DataFrame, key: str) -> DataFrame:
     """key, allowed, reasons: whether a document's actions may run, and what blocks them. Outside external mode all is allowed.
 
-    docs: key, external, timed_out; propositions: key, prop_id, kind, executable, quoted, mood, polite, sense_status, status, role;
+    docs: key, external, timed_out (and unsupported: something that no rule covers was said, which blocks where no action is executable); propositions: key, prop_id, kind, executable, quoted, mood, polite, sense_status, status, role;
     conflicts: key, constraint_id, action_id; cyclic: key. Only what is connected to an executable action can block, but for a
     document without any action, for a timeout, and for a conflict that names nothing.
     """
@@ -87,6 +87,7 @@ def guard(docs: DataFrame, propositions: DataFrame, edges: DataFrame, conflicts:
         told(conflicts.where("constraint_id is null and action_id is null"), "CONTRADICTORY"),
         told(conflicts.join(near, (conflicts[key] == near[key]) & near["prop_id"].isin(conflicts["constraint_id"], conflicts["action_id"]), "left_semi"), "CONTRADICTORY"),
         told(docs.where("timed_out"), "TIMEOUT"),
+        *([told(docs.where("unsupported").join(seeds, key, "left_anti"), "UNSUPPORTED")] if "unsupported" in docs.columns else []),
         told(action.where("not executable and not quoted and mood <> 'interrogative'"), "NON_EXECUTABLE_SPEECH_ACT"),
         told(docs.join(seeds, key, "left_anti"), "NO_EXECUTABLE_ACTION"),
         told(action.where("quoted"), "QUOTED_ACTION"),

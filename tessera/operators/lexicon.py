@@ -21,12 +21,12 @@ def normalise(records: DataFrame) -> DataFrame:
 
 
 def violations(records: DataFrame) -> DataFrame:
-    """record_id, violation: what a record lacks; a repeated id counts for each of its rows."""
+    """record_id, violation: what a record lacks; a repeated id counts for each of its rows. A column restricted_to, where there is one, must name surfaces of the record."""
     many = F.count("*").over(W.partitionBy("record_id"))
     checks = F.array_compact(F.array(
         F.when(F.coalesce(F.col("record_id"), F.lit("")) == "", "record_id"), F.when(F.coalesce(F.col("lemma"), F.lit("")) == "", "lemma"), F.when(many > 1, "duplicate_id"),
         F.when(~F.coalesce(F.col("review_status"), F.lit("")).isin("approved", "pending", "rejected"), "review_status"), F.when(F.coalesce(F.col("license"), F.lit("")) == "", "license"),
-        F.when(F.size(F.array_except(F.coalesce("readings", F.array().cast("array<string>")), F.coalesce("readings", F.array().cast("array<string>")))) > 0, "readings"),
+        *([F.when(F.size(F.array_except(F.coalesce("restricted_to", F.array().cast("array<string>")), F.coalesce("surfaces", F.array().cast("array<string>")))) > 0, "restricted_to")] if "restricted_to" in records.columns else []),
     ))
     return records.withColumn("violation", checks).select("record_id", F.explode("violation").alias("violation"))
 

@@ -20,7 +20,7 @@ def probe(clauses: DataFrame, rules: DataFrame) -> DataFrame:
     """Clauses with the rules whose cover is one of their words, and with rules that have none."""
     on = rules.where(F.coalesce("enabled", F.lit(True)))
     worded = clauses.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower("clause"), TOKEN_BREAK))))
-    covered = worded.join(on.where("cover is not null").withColumnRenamed("cover", "_word"), "_word").drop("_word")
+    covered = worded.join(on.where("cover is not null").withColumn("_word", F.lower("cover")).drop("cover"), "_word").drop("_word")
     always = on.where("cover is null").drop("cover")
     # rules without a cover are few by construction: they ride on the clause as one array
     many = always.agg(F.collect_list(F.struct(*always.columns)).alias("_always"))
@@ -45,7 +45,7 @@ def match_rules(clauses: DataFrame, rules: DataFrame, key: str = "doc_id", liter
     def of(r) -> Column:
         hit = F.col("clause").rlike(r["pattern"])
         if r["cover"] is not None:
-            hit = F.array_contains("_words", r["cover"]) & hit
+            hit = F.array_contains("_words", r["cover"].lower()) & hit
         found = F.transform(spans(F.col("clause"), r["pattern"]), lambda m: F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["intent"]).alias("intent"), F.lit(r["priority"]).alias("priority"), m["start"].alias("from"), m["end"].alias("to"), m["surface"].alias("surface")))
         return F.when(hit, found)
 
@@ -57,7 +57,7 @@ def match_rules(clauses: DataFrame, rules: DataFrame, key: str = "doc_id", liter
 
 def match_rules_joined(clauses: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
     """The same for any number of rules: clauses meet rules by a word of theirs that is a rule's cover."""
-    hits = probe(clauses, rules).where(F.regexp_like("clause", F.col("pattern"))).withColumn("m", F.explode(_column_spans("clause", "pattern")))
+    hits = probe(clauses, rules).where(F.regexp_like("clause", F.col("pattern"))).withColumn("m", F.explode(spans(F.col("clause"), F.col("pattern"))))
     return hits.select(key, "clause_no", "rule_id", "intent", "priority", (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"), F.col("m.surface").alias("surface"))
 
 
@@ -65,22 +65,10 @@ def match_rules_exhaustively(clauses: DataFrame, rules: DataFrame, key: str = "d
     """The same without the probe: every rule on every clause. The twin that the probe is checked against."""
     on = rules.where(F.coalesce("enabled", F.lit(True)))
     all_rules = on.agg(F.collect_list(F.struct("rule_id", "intent", "priority", "pattern")).alias("_rules"))
-    hits = clauses.join(F.broadcast(all_rules)).withColumn("_r", F.explode("_rules")).select(*clauses.columns, "_r.*").where(F.regexp_like("clause", F.col("pattern"))).withColumn("m", F.explode(_column_spans("clause", "pattern")))
+    hits = clauses.join(F.broadcast(all_rules)).withColumn("_r", F.explode("_rules")).select(*clauses.columns, "_r.*").where(F.regexp_like("clause", F.col("pattern"))).withColumn("m", F.explode(spans(F.col("clause"), F.col("pattern"))))
     return hits.select(key, "clause_no", "rule_id", "intent", "priority", (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"), F.col("m.surface").alias("surface"))
 
 
-def _column_spans(text: str, pattern: str):
-    pairs = F.arrays_zip(F.split(F.col(text), F.col(pattern), -1).alias("gap"), F.regexp_extract_all(F.col(text), F.col(pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,surface:string>>")
-
-    def step(a, p):
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("surface")))).alias("out"))
-
-    return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-
-
 def captures(matches: DataFrame, rules: DataFrame) -> DataFrame:
     """Matches with the first group of their rule as `value`."""
     return matches.join(rules.select("rule_id", "pattern"), "rule_id").withColumn("value", F.expr("regexp_extract(surface, pattern, 1)")).drop("pattern")
@@ -92,13 +80,22 @@ def dedup_intents(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: First words of phrases up to which they are written into the plan.
+FIRST_WORDS = 500
+
+
 def phrase_hits(clauses: DataFrame, phrases: DataFrame, key: str = "doc_id") -> DataFrame:
     """Literal phrase matches by whole words, with the status of their context policy.
 
     Policies: required_any (some cue in the clause, else INSUFFICIENT), forbidden_any (any cue makes it UNSUPPORTED), optional (RESOLVED).
     """
     first = phrases.withColumn("_word", F.split(F.lower("surface"), TOKEN_BREAK)[0])
-    worded = clauses.withColumn("_low", F.concat(F.lit(" "), F.regexp_replace(F.lower("clause"), TOKEN_BREAK, " "), F.lit(" "))).withColumn("_word", F.explode(F.array_distinct(F.split(F.trim("_low"), " "))))
+    words = F.array_distinct(F.split(F.trim("_low"), " "))
+    # the first words of a small dictionary are kept before the explode; those of a large one meet in the join
+    some = [r["_word"] for r in first.select("_word").distinct().limit(FIRST_WORDS + 1).collect()]
+    if len(some) <= FIRST_WORDS:
+        words = F.array_intersect(words, F.array(*[F.lit(w) for w in some]).cast("array<string>"))
+    worded = clauses.withColumn("_low", F.concat(F.lit(" "), F.regexp_replace(F.lower("clause"), TOKEN_BREAK, " "), F.lit(" "))).withColumn("_word", F.explode(words))
     hit = worded.join(first, "_word").where(F.expr("contains(_low, concat(' ', lower(surface), ' '))"))
     cued = F.exists("cues", lambda c: F.contains(F.col("_low"), F.concat(F.lit(" "), F.lower(c), F.lit(" "))))
     status = F.when(F.col("policy") == "required_any", F.when(cued, "RESOLVED").otherwise("INSUFFICIENT")).when((F.col("policy") == "forbidden_any") & cued, "UNSUPPORTED").otherwise("RESOLVED")

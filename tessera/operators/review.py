@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import stage
+
 #: Ordered statuses; the first with a flag wins.
 TRIAGE = [("blocked", ["no-source", "no-license"]), ("artifact", ["substring"]), ("mismatch", ["category"]), ("high-risk", ["risky"])]
 
@@ -33,9 +35,21 @@ def coverage(targets: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if(F.col("d").isNull()).alias("undecided"), F.count_if(F.col("t").isNull()).alias("unknown"), F.count_if(F.col("t").isNotNull() & F.col("d").isNotNull()).alias("decided"))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Rows with their number (from 0) within the keys by `order`, which must tell rows apart.
+
+    Rows are dealt by ranges of (keys, order), numbered within each range, and moved on by what the ranges before hold: few keys do not make few tasks.
+    """
+    dealt = stage(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = held.withColumn("_before", F.sum("_n").over(W.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
+    within = dealt.withColumn("_at", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    return within.join(before, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_range", "_before", "_at")
+
+
 def packs(rows: DataFrame, keys: list[str], order: list, size: int) -> DataFrame:
     """Rows with pack (from 0): chunks of `size` within the keys."""
-    return rows.withColumn("pack", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1) / size))
+    return numbered(rows, keys, order, "_number").withColumn("pack", F.floor(F.col("_number") / size)).drop("_number")
 
 
 def proposal_score(parts: dict[str, tuple[Column, int]]) -> Column:
@@ -51,9 +65,12 @@ def macro_accuracy(cases: DataFrame, category: str, passed: str) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """The value at index min(floor(n * share), n - 1) of the sorted values, for each share."""
-    n, w = F.count("*").over(W.partitionBy(*keys)), W.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * s), F.col("_n") - 1), F.col(value))).alias(f"p{int(s * 100)}") for s in shares], F.max(value).alias("longest"), F.count("*").alias("n"))
+    # equal values are counted before anything is sorted
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*keys)
+    ranked = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda s: F.least(F.floor(F.col("_n") * s), F.col("_n") - 1)
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_to") > at(s), F.col(value))).alias(f"p{int(s * 100)}") for s in shares], F.max(value).alias("longest"), F.sum("_c").alias("n"))
 
 
 def hash_sample(rows: DataFrame, column: str, size: int) -> DataFrame:

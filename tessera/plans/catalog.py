@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import analyses, features, graphs, lanes, lexicons, matches, meanings, ranks, reviews, streams, supplies, texts  # noqa: F401
+from . import analyses, features, graphs, lanes, lexicons, matches, meanings, ranks, reviews, sources, streams, supplies, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -177,7 +177,7 @@ def feature_status(spark: SparkSession, sf: str) -> DataFrame:
     return _resolved(spark, sf).select("utt", "entry_id", "start", "end", "selected", "status")
 
 
-@query("feature_post_pass", f"WITH {_MODES}, {_SCORES}, b AS (SELECT utt, CASE WHEN utt % 2 = 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status FROM {_U}), g AS (SELECT utt, bool_or(status = 'RESOLVED') AS some, bool_or(status = 'AMBIGUOUS' AND entry_id IN ('E2', 'E3')) AS open FROM v GROUP BY utt) SELECT utt, CASE WHEN status = 'FAILED' AND coalesce(some, FALSE) THEN 'PARTIAL' ELSE status END AS status, coalesce(open, FALSE) AS blocked FROM b LEFT JOIN g USING (utt)")
+@query("feature_post_pass", f"WITH {_MODES}, {_SCORES}, b AS (SELECT utt, CASE WHEN utt % 2 = 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status FROM {_U}), g AS (SELECT utt, bool_or(status = 'RESOLVED') AS lifted, bool_or(status = 'AMBIGUOUS' AND entry_id IN ('E2', 'E3')) AS held FROM v GROUP BY utt) SELECT utt, CASE WHEN status = 'FAILED' AND coalesce(lifted, FALSE) THEN 'PARTIAL' ELSE status END AS status, coalesce(held, FALSE) AS blocked FROM b LEFT JOIN g USING (utt)")
 def feature_post_pass(spark: SparkSession, sf: str) -> DataFrame:
     statuses = utterances(spark, sf).select("utt", F.when(F.col("utt") % 2 == 0, "FAILED").otherwise("COMPLETE").alias("status"))
     return features.post_pass(statuses, _resolved(spark, sf), "utt")

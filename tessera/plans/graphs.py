@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import stage
 from ..operators import graph, match
 from . import dims
 from .matches import _captured_sql, rule_matches
@@ -84,7 +85,7 @@ _KEY = r"regexp_replace(lower(target), '[^\p{L}\p{N}]+', '', 'g')"
 def _props(spark: SparkSession, sf: str) -> DataFrame:
     found = match.captures(rule_matches(spark, sf), dims.rules(spark)).where("intent in ('action', 'condition', 'scope')")
     kind = F.when(F.col("intent") == "action", "changes").when(F.col("intent") == "condition", "preserves").otherwise("prohibits")
-    return found.select("doc_id", F.concat_ws("@", "rule_id", "start").alias("prop_id"), kind.alias("kind"), F.col("value").alias("target"), "clause_no", "start")
+    return stage(found.select("doc_id", F.concat_ws("@", "rule_id", "start").alias("prop_id"), kind.alias("kind"), F.col("value").alias("target"), "clause_no", "start"), "propositions")  # read from two sides
 
 
 @query("contradictions", f"WITH p AS (SELECT *, {_KEY} AS k FROM ({_PROPS})) SELECT DISTINCT a.doc_id, a.prop_id AS constraint_id, a.kind AS constraint_kind, b.prop_id AS action_id FROM p a JOIN p b USING (doc_id) WHERE a.kind <> 'changes' AND b.kind = 'changes' AND least(length(a.k), length(b.k)) >= 2 AND (contains(a.k, b.k) OR contains(b.k, a.k))")
@@ -122,8 +123,8 @@ def node_caps(spark: SparkSession, sf: str) -> DataFrame:
     return graph.capped(nodes, "doc_id", ["start", "rule_id"], 16).select("doc_id", "node", "limited")
 
 
-#: doc, external, timed_out; doc, prop, kind, executable, quoted, mood, polite, sense, status, role; edges; conflicts; cyclic.
-_G_DOCS = [(1, True, False), (2, True, False), (3, True, False), (4, False, True), (5, True, True), (6, True, False), (7, True, False), (8, True, False)]
+#: doc, external, timed_out, unsupported; doc, prop, kind, executable, quoted, mood, polite, sense, status, role; edges; conflicts; cyclic.
+_G_DOCS = [(1, True, False, True), (2, True, False, True), (3, True, False, False), (4, False, True, True), (5, True, True, False), (6, True, False, False), (7, True, False, False), (8, True, False, True)]
 _G_PROPS = [
     (1, "p1", "changes", True, False, "imperative", False, "RESOLVED", "RESOLVED", "action"),
     (2, "p1", "changes", False, True, "imperative", False, "RESOLVED", "RESOLVED", "action"),
@@ -141,11 +142,11 @@ _G_EDGES = [(3, "p1", "p2"), (6, "p2", "p1"), (6, "p3", "p2")]
 _G_CONFLICTS = [(6, "p2", "p1"), (7, "p9", None)]
 _G_CYCLIC = [(7,)]
 _P = dims.duck(_G_PROPS, ["g", "prop_id", "kind", "executable", "quoted", "mood", "polite", "sense_status", "status", "role"])
-_GUARD_SQL = f"""WITH RECURSIVE d AS {dims.duck(_G_DOCS, ["g", "external", "timed_out"])}, p AS {_P}, e AS {dims.duck(_G_EDGES, ["g", "src", "dst"])}, c AS {dims.duck(_G_CONFLICTS, ["g", "a", "b"])},
+_GUARD_SQL = f"""WITH RECURSIVE d AS {dims.duck(_G_DOCS, ["g", "external", "timed_out", "unsupported"])}, p AS {_P}, e AS {dims.duck(_G_EDGES, ["g", "src", "dst"])}, c AS {dims.duck(_G_CONFLICTS, ["g", "a", "b"])},
   u AS (SELECT g, src, dst FROM e UNION SELECT g, dst, src FROM e), near AS (SELECT g, prop_id FROM p WHERE kind = 'changes' AND executable UNION SELECT n.g, u.dst FROM near n JOIN u ON u.g = n.g AND u.src = n.prop_id),
   rel AS (SELECT p.* FROM p JOIN near USING (g, prop_id)),
   r AS (SELECT g, 1 AS k, 'CONTRADICTORY' AS reason FROM c WHERE a IS NULL AND b IS NULL UNION SELECT c.g, 1, 'CONTRADICTORY' FROM c JOIN near n ON n.g = c.g AND (n.prop_id = c.a OR n.prop_id = c.b)
-    UNION SELECT g, 2, 'TIMEOUT' FROM d WHERE timed_out UNION SELECT g, 3, 'NON_EXECUTABLE_SPEECH_ACT' FROM p WHERE kind = 'changes' AND NOT executable AND NOT quoted AND mood <> 'interrogative'
+    UNION SELECT g, 2, 'TIMEOUT' FROM d WHERE timed_out UNION SELECT g, 2.5, 'UNSUPPORTED' FROM d WHERE unsupported AND g NOT IN (SELECT g FROM p WHERE kind = 'changes' AND executable) UNION SELECT g, 3, 'NON_EXECUTABLE_SPEECH_ACT' FROM p WHERE kind = 'changes' AND NOT executable AND NOT quoted AND mood <> 'interrogative'
     UNION SELECT g, 4, 'NO_EXECUTABLE_ACTION' FROM d WHERE g NOT IN (SELECT g FROM p WHERE kind = 'changes' AND executable) UNION SELECT g, 5, 'QUOTED_ACTION' FROM p WHERE kind = 'changes' AND quoted
     UNION SELECT g, 6, 'INTERROGATIVE_ACTION' FROM p WHERE kind = 'changes' AND mood = 'interrogative' AND NOT polite UNION SELECT g, 7, 'AMBIGUOUS_ACTION_SENSE' FROM rel WHERE kind = 'changes' AND sense_status = 'AMBIGUOUS'
     UNION SELECT g, 8, 'UNRESOLVED_SCOPE' FROM rel WHERE role = 'scope' AND status <> 'RESOLVED' UNION SELECT g, 9, 'AMBIGUOUS_OR_INSUFFICIENT_REFERENCE' FROM rel WHERE role = 'reference' AND status <> 'RESOLVED'
@@ -156,7 +157,7 @@ _GUARD_SQL = f"""WITH RECURSIVE d AS {dims.duck(_G_DOCS, ["g", "external", "time
 def _guarded(spark: SparkSession) -> DataFrame:
     v = dims.values
     return graph.guard(
-        v(spark, _G_DOCS, "g int, external boolean, timed_out boolean"),
+        v(spark, _G_DOCS, "g int, external boolean, timed_out boolean, unsupported boolean"),
         v(spark, _G_PROPS, "g int, prop_id string, kind string, executable boolean, quoted boolean, mood string, polite boolean, sense_status string, status string, role string"),
         v(spark, _G_EDGES, "g int, src string, dst string"), v(spark, _G_CONFLICTS, "g int, constraint_id string, action_id string"), v(spark, _G_CYCLIC, "g int"), "g",
     )

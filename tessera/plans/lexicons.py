@@ -29,9 +29,11 @@ def record_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon.normalise(messy).select("record_id", "lemma", F.array_join(F.array_sort("surfaces"), "|").alias("surfaces"))
 
 
-@query("record_validation", f"SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN review_status = 'odd' THEN 'review_status' END, CASE WHEN license = '' THEN 'license' END], lambda x: x IS NOT NULL)) AS violation FROM ({_LEX})) GROUP BY violation")
+@query("record_validation", f"SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN review_status = 'odd' THEN 'review_status' END, CASE WHEN license = '' THEN 'license' END, CASE WHEN substr(record_id, 2)::INTEGER % 9 = 0 THEN 'restricted_to' END], lambda x: x IS NOT NULL)) AS violation FROM ({_LEX})) GROUP BY violation")
 def record_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.violations(_records(spark, sf)).groupBy("violation").agg(F.count("*").alias("n"))
+    n = F.substring("record_id", 2, 20).cast("int")
+    planted = _records(spark, sf).withColumn("restricted_to", F.when(n % 9 == 0, F.array(F.lit("no such surface"))).when(n % 9 == 1, F.slice("surfaces", 1, 1)))
+    return lexicon.violations(planted).groupBy("violation").agg(F.count("*").alias("n"))
 
 
 _FLAT = "list_sort(list_distinct(flatten(list({}))))"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import stage
 from ..operators import match, segment
 from . import dims
 from .registry import query, table
@@ -187,7 +188,7 @@ def clause_assign_containing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("span_overlap_join", f"SELECT a.doc_id, a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n FROM ({_MATCHES}) a JOIN ({_MATCHES}) b ON a.doc_id = b.doc_id AND a.clause_no = b.clause_no AND a.s < b.e AND b.s < a.e AND a.rule_id < b.rule_id GROUP BY ALL")
 def span_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    found = rule_matches(spark, sf).select("doc_id", "clause_no", "rule_id", "start", "end")
+    found = stage(rule_matches(spark, sf).select("doc_id", "clause_no", "rule_id", "start", "end"), "matches")  # both sides read it
     return match.overlaps(found, found, ["doc_id", "clause_no"]).where("rule_id < r_rule_id").groupBy("doc_id", F.col("rule_id").alias("rule_a"), F.col("r_rule_id").alias("rule_b")).agg(F.count("*").alias("n"))
 
 
@@ -200,7 +201,7 @@ def inside_quotes(spark: SparkSession, sf: str) -> DataFrame:
 @query("collision_guard", f"SELECT m.rule_id, count(*) AS n FROM ({_MATCHES}) m WHERE NOT EXISTS (SELECT 1 FROM ({_MATCHES}) g WHERE g.rule_id = 'R08' AND m.rule_id = 'R07' AND g.doc_id = m.doc_id AND m.s < g.e AND g.s < m.e) GROUP BY m.rule_id")
 def collision_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Matches of R07 are dropped where a match of R08, which names them, overlaps: a left anti interval join."""
-    found = rule_matches(spark, sf).withColumnRenamed("rule_id", "entry_id")
+    found = stage(rule_matches(spark, sf).withColumnRenamed("rule_id", "entry_id"), "matches")  # both sides read it
     guards = found.where("entry_id = 'R08'").select("doc_id", "start", "end", F.lit("R07").alias("suppresses"))
     return match.guarded(found, guards, ["doc_id"]).groupBy(F.col("entry_id").alias("rule_id")).agg(F.count("*").alias("n"))
 

@@ -44,7 +44,9 @@ _SCORED = f"WITH w AS ({_WORDS}) SELECT l.doc_id, l.clause_no, s.lemma, s.sense,
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     words = segment.clauses(table(spark, sf, "documents")).select("doc_id", "clause_no", F.array_distinct(F.split(F.lower("clause"), segment.TOKEN_BREAK)).alias("words"))
     senses = dims.values(spark, _SENSES, "lemma string, sense string, cue string, weight int")
-    lemmas = words.withColumn("lemma", F.explode("words")).join(senses, "lemma").where(F.array_contains("words", F.col("cue")))
+    # only lemmas that have senses leave the array
+    some = F.array(*[F.lit(x) for x in sorted({r[0] for r in _SENSES})])
+    lemmas = words.withColumn("lemma", F.explode(F.array_intersect("words", some))).join(senses, "lemma").where(F.array_contains("words", F.col("cue")))
     return lemmas.groupBy("doc_id", "clause_no", "lemma", "sense").agg(F.sum("weight").alias("score"))
 
 

@@ -116,9 +116,11 @@ def benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
 
     def runs(df: DataFrame, key: str) -> DataFrame:
         words = df.select(key, F.split(F.lower("text"), _N).alias("w")).where(F.size("w") >= 8)
-        return words.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))).alias("g")).distinct()
+        return words.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))).alias("g"))
 
-    return runs(table(spark, sf, "documents"), "doc_id").join(runs(table(spark, sf, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    # the benchmark's runs meet the documents' first; only what is shared is made distinct
+    shared = runs(table(spark, sf, "documents"), "doc_id").join(runs(table(spark, sf, "benchmark"), "item_id").distinct(), "g").distinct()
+    return shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query("approved_only_gate", f"SELECT d.lang, count(*) AS n FROM documents d JOIN labels l USING (doc_id) WHERE quality = 1 AND toxic = 0 AND CASE {' '.join(f'''WHEN contains(lower(text), '{m}') THEN '{b}' ''' for b, m in X.LICENSE_BUCKETS)} ELSE 'unknown' END <> 'noncommercial' GROUP BY d.lang")

@@ -83,5 +83,5 @@ def unresolved_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and SHA-256 of every file below a path."""
+    """path, bytes and SHA-256 of every file below a path that is not empty (the reader passes empty files over)."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

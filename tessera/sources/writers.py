@@ -51,3 +51,40 @@ def promote(rows: DataFrame, staging: str, target: str, dry_run: bool = True) ->
     if had:
         fs.delete(aside, True)
     return n
+
+
+def review_assets(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Each table as JSON lines below path, and a manifest (name, rows, digest of the content)."""
+    manifest = None
+    for name, rows in sorted(tables.items()):
+        json_lines(rows, f"{path}/{name}")
+        line = content_digest(rows, rows.columns[0]).select("digest").crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows")))).select(F.lit(name).alias("name"), "rows", "digest")  # one row by one row
+        manifest = line if manifest is None else manifest.unionByName(line)
+    json_lines(manifest, f"{path}/manifest")
+    return manifest
+
+
+def approved_index(records: DataFrame, path: str, shards: int = 16, lists: tuple[str, ...] = ("surfaces", "readings", "pos", "domains")) -> None:
+    """Refuses records that are not approved; else writes records by shard, an inverted index for each list, a locator (record_id, shard) and the manifest with its flags."""
+    from .packs import FLAGS
+
+    bad = records.where(F.coalesce("review_status", F.lit("")) != "approved").limit(3).collect()
+    if bad:
+        raise ValueError(f"records that are not approved: {[r['record_id'] for r in bad]}")
+    placed = records.withColumn("shard", F.pmod(F.xxhash64("record_id"), F.lit(shards)).cast("int"))
+    placed.write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/records")
+    placed.select("record_id", "shard").write.parquet(f"{path}/locator")
+    for name in lists:
+        records.select("record_id", F.explode(name).alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("record_id")).alias("ids")).write.parquet(f"{path}/{name}")
+    records.agg(F.count("*").alias("records")).select("records", *[F.lit(v).alias(k) for k, v in FLAGS.items()]).write.parquet(f"{path}/manifest")
+
+
+def promotion_set(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """A folder for each kind, partitioned by license bucket, and the manifest of sources: kind, license_bucket, dataset, n."""
+    manifest = None
+    for kind, rows in sorted(tables.items()):
+        bucketed = rows.withColumn("license_bucket", license_bucket(F.col("license")))
+        bucketed.write.mode("errorifexists").partitionBy("license_bucket").json(f"{path}/{kind}")
+        line = bucketed.groupBy("license_bucket", "dataset").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "license_bucket", "dataset", "n")
+        manifest = line if manifest is None else manifest.unionByName(line)
+    return manifest
