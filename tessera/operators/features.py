@@ -15,7 +15,7 @@ _BREAK = r"[.!?\n]"
 
 def context_window(text: Column, start: Column, end: Column) -> Column:
     """What stands around a span between the nearest sentence boundaries."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), start), rf"(?s)({_BREAK}?)([^.!?\n]*)$", 2)
+    left = F.element_at(F.split(F.substring(text, F.lit(1), start), _BREAK, -1), -1)
     right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^[^.!?\n]*", 0)
     return F.concat(left, F.substring(text, start + 1, end - start), right)
 

@@ -161,7 +161,7 @@ _SCORES = f"""z AS (SELECT y.utt, entry_id, s, e, role, {_WINDOW.replace('text',
   q AS (SELECT utt, entry_id, s, e, 'I1' AS id, CASE WHEN contains(w, 'of') AND (contains(w, 'in') OR contains(w, 'to')) AND role = 'user' THEN 26 + CASE WHEN contains(w, 'in') THEN 10 ELSE 0 END + CASE WHEN contains(w, 'to') THEN 10 ELSE 0 END END AS score FROM z WHERE entry_id = 'E1'
     UNION ALL SELECT utt, entry_id, s, e, 'I2', CASE WHEN contains(w, 'and') AND NOT contains(w, 'zz') THEN 11 END FROM z WHERE entry_id = 'E1'
     UNION ALL SELECT utt, entry_id, s, e, 'I3', CASE WHEN contains(w, 'th') AND NOT contains(w, 'of') THEN 21 END FROM z WHERE entry_id = 'E2' UNION ALL SELECT utt, entry_id, s, e, 'I4', CASE WHEN contains(w, 'er') AND NOT contains(w, 'of') THEN 21 END FROM z WHERE entry_id = 'E2'
-    UNION ALL SELECT utt, entry_id, s, e, 'I5', CASE WHEN role = 'user' THEN 11 END FROM z WHERE entry_id = 'E3' UNION ALL SELECT utt, entry_id, s, e, 'I6', 1 FROM z WHERE entry_id = 'E4' UNION ALL SELECT utt, entry_id, s, e, 'I7', NULL FROM z WHERE entry_id = 'E5' UNION ALL SELECT utt, entry_id, s, e, 'I8', 1 FROM z WHERE entry_id = 'E6'),
+    UNION ALL SELECT utt, entry_id, s, e, 'I5', CASE WHEN role <> 'assistant' THEN 11 END FROM z WHERE entry_id = 'E3' UNION ALL SELECT utt, entry_id, s, e, 'I6', 1 FROM z WHERE entry_id = 'E4' UNION ALL SELECT utt, entry_id, s, e, 'I7', NULL FROM z WHERE entry_id = 'E5' UNION ALL SELECT utt, entry_id, s, e, 'I8', 1 FROM z WHERE entry_id = 'E6'),
   r AS (SELECT utt, entry_id, s, e, count(score) FILTER (score = top) AS best, max(id) FILTER (score = top) AS id FROM (SELECT *, max(score) OVER (PARTITION BY utt, entry_id, s, e) AS top FROM q) GROUP BY utt, entry_id, s, e),
   v AS (SELECT utt, entry_id, s, e, CASE WHEN best = 1 THEN id END AS selected, CASE WHEN best = 1 THEN 'RESOLVED' WHEN best > 1 THEN 'AMBIGUOUS' WHEN entry_id IN ('E2', 'E3') THEN 'AMBIGUOUS' ELSE 'INSUFFICIENT' END AS status FROM r)"""
 

@@ -52,10 +52,10 @@ def approval_validation(spark: SparkSession, sf: str) -> DataFrame:
     return lanes.missing_fields(rows, "p_partkey", "kind", {"rule": ["name"], "phrase": ["examples"], "template": ["name", "examples"]})
 
 
-@query("proposal_expansion", f"WITH o AS (SELECT DISTINCT record_id, s AS surface FROM (SELECT record_id, unnest(surfaces || readings) AS s FROM ({_LEX}))) SELECT record_id, surface FROM o WHERE surface IN (SELECT surface FROM o GROUP BY surface HAVING count(*) = 1) AND record_id IN (SELECT record_id FROM ({_LEX}) WHERE review_status = 'approved')")
+@query("proposal_expansion", f"WITH o AS (SELECT DISTINCT record_id, s AS surface FROM (SELECT record_id, unnest(surfaces || [lemma || '/' || dataset || '/' || domains[1]]) AS s FROM ({_LEX}))) SELECT record_id, surface FROM o WHERE surface IN (SELECT surface FROM o GROUP BY surface HAVING count(*) = 1) AND record_id IN (SELECT record_id FROM ({_LEX}) WHERE review_status = 'approved')")
 def proposal_expansion(spark: SparkSession, sf: str) -> DataFrame:
     records = _records(spark, sf)
-    return lanes.expand_proposals(records.where("review_status = 'approved'"), records.withColumn("all", F.concat("surfaces", "readings")), "record_id", "all")
+    return lanes.expand_proposals(records.where("review_status = 'approved'"), records.withColumn("all", F.concat("surfaces", F.array(F.concat_ws("/", "lemma", "dataset", F.col("domains")[0])))), "record_id", "all")
 
 
 @query("category_decisions", "SELECT doc_id, CASE WHEN lang = 'fr' AND quality IS NOT NULL THEN CASE WHEN quality = 1 AND toxic = 0 THEN 'approved' WHEN toxic = 1 THEN 'rejected' ELSE 'deferred' END ELSE 'pending' END AS status FROM documents LEFT JOIN labels USING (doc_id)")

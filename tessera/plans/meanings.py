@@ -194,7 +194,7 @@ def sequence_refinement(spark: SparkSession, sf: str) -> DataFrame:
     return meaning.sequence_edges(props(spark, sf), _edges(spark, sf), utterances(spark, sf).where("contains(text, ' on ')"), "utt")
 
 
-@query("sequence_completion", f"SELECT utt, a AS first, b AS second FROM (SELECT utt, regexp_extract(text, '([a-z]+) and ([a-z]+)', 1) AS a, regexp_extract(text, '([a-z]+) and ([a-z]+)', 2) AS b FROM {_U}) WHERE a <> '' AND b <> '' AND a NOT IN ('and', 'but', 'then', 'so') AND b NOT IN ('only')")
+@query("sequence_completion", f"SELECT utt, a AS first, b AS second FROM (SELECT utt, regexp_extract(text, '([a-z]+) and ([a-z]+)', 1) AS a, regexp_extract(text, '([a-z]+) and ([a-z]+)', 2) AS b FROM {_U}) WHERE a <> '' AND b <> ''")
 def sequence_completion(spark: SparkSession, sf: str) -> DataFrame:
     return meaning.split_sequence(utterances(spark, sf), "utt", "text", "([a-z]+) and ([a-z]+)")
 
