@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,33 +77,36 @@ def strip_markup(x: Column, rounds: int = 1) -> Column:
     return collapse(x)
 
 
-#: Elements that running() sums together.
+#: Elements that a fold appends to one array before it begins the next.
 CHUNK = 64
 
 
-def running(xs: Column) -> Column:
-    """The sum of all before each element of an array of ints. Taken chunk by chunk, so that a long array costs no square of its length; null for an empty one."""
+def fold_append(xs: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """An array of what each element of xs gives, with a state that goes along: step(state, x) is (next state, output). kind: the output's type.
+
+    One pass; outputs are gathered CHUNK at a time, so that a long array costs no square of its length.
+    """
+    one, many = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
-    def scan(part: Column) -> Column:
-        none = F.slice(F.array(F.lit(0)), 1, 0)
-        return F.aggregate(part, F.struct(F.lit(0).alias("sum"), none.alias("out")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")))
+    def each(a: Column, x: Column) -> Column:
+        state, out = step(a["state"], x)
+        full = F.size(a["now"]) >= CHUNK
+        return F.struct(state.alias("state"), F.when(full, F.array(out)).otherwise(F.concat(a["now"], F.array(out))).alias("now"), F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda c: scan(F.slice(xs, c * CHUNK + 1, CHUNK)))
-    joined = F.arrays_zip(chunks.alias("chunk"), scan(F.transform(chunks, lambda c: c["sum"]))["out"].alias("first"))
-    return F.when(F.size(xs) > 0, F.flatten(F.transform(joined, lambda z: F.transform(z["chunk"]["out"], lambda x: z["first"] + x))))
+    return F.aggregate(xs, F.struct(zero.alias("state"), one.alias("now"), many.alias("done")), each, lambda a: F.when(F.size(a["done"]) == 0, a["now"]).otherwise(F.flatten(F.concat(a["done"], F.array(a["now"])))))
 
 
 def spans(x: Column, pattern: str | Column) -> Column:
-    """Every match as (start, end, surface), [start, end) in code points; null for a null text."""
+    """Every match as (start, end, surface), [start, end) in code points."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    hits = F.regexp_extract_all(x, pattern, F.lit(0))
-    gaps = F.split(x, pattern, -1)
-    # a gap and the match after it are summed together; the last gap has no match
-    pairs = F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: F.struct(F.length(p["gap"]).alias("gap"), p["hit"].alias("hit")))
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    at = running(F.transform(pairs, lambda p: p["gap"] + F.length(p["hit"])))
-    placed = F.transform(F.arrays_zip(pairs.alias("p"), at.alias("at")), lambda z: F.struct((z["at"] + z["p"]["gap"]).alias("start"), (z["at"] + z["p"]["gap"] + F.length(z["p"]["hit"])).alias("end"), z["p"]["hit"].alias("surface")))
-    return F.when(F.size(hits) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,surface:string>>"))
+    pairs = F.arrays_zip(F.split(x, pattern, -1).alias("gap"), F.regexp_extract_all(x, pattern, F.lit(0)).alias("hit"))
+
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + F.length(p["gap"])
+        end = start + F.length(p["hit"])
+        return end, F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("surface"))
+
+    return fold_append(F.filter(pairs, lambda p: p["hit"].isNotNull()), F.lit(0), "struct<start:int,end:int,surface:string>", step)
 
 
 #: Ordered classes of names; the first that fits wins.
