@@ -18,6 +18,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_append
+
 #: Confidence of a match by priority (1 is best).
 CONFIDENCE = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.6}
 #: label, priority, pattern over words. {L}: license or licence; {V}: an optional "version" or "v"; {G}: how a grant opens.
@@ -487,18 +489,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def matches(r: Column) -> Column:
         # one pass marks all matches; a piece after the first begins with one
         pieces = F.split(F.regexp_replace(F.col("_w"), r["pattern"], F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN, -1)
-        placed = F.arrays_zip(pieces.alias("piece"), _before(F.transform(pieces, _spaces), F.lit(0), lambda a, b: a + b).alias("at"))
 
-        def one(x: Column) -> Column:
-            start = x["at"] - 1
-            end = start + _spaces(F.substring_index(x["piece"], _CLOSE, 1)) + 1
-            return F.struct(start.alias("start"), (-end).alias("neg_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"))
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            start = at - 1
+            end = start + _spaces(F.substring_index(x, _CLOSE, 1)) + 1
+            out = F.struct(start.alias("start"), (-end).alias("neg_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"))
+            return at + _spaces(x), F.when(F.contains(x, F.lit(_CLOSE)), out)
 
-        return F.when(F.size(pieces) > 1, F.transform(F.slice(placed, 2, F.size(pieces) - 1), one))
+        return F.array_compact(fold_append(pieces, F.lit(0), "struct<start:int,neg_end:int,priority:int,rule:int,label:string,confidence:double>", step))
 
     none = F.array().cast("array<struct<start:int,neg_end:int,priority:int,rule:int,label:string,confidence:double>>")
     candidates = F.filter(table, lambda r: F.forall(r["words"], lambda w: F.array_contains(F.col("_has"), w)))
-    df = df.withColumn("_all", F.when(F.size("_has") > 0, F.array_sort(F.flatten(F.array_compact(F.transform(candidates, matches))))))
+    df = df.withColumn("_all", F.when(F.size("_has") > 0, F.array_sort(F.flatten(F.transform(candidates, matches)))))
     df = df.withColumn("_all", F.coalesce("_all", none))
 
     # the furthest end so far of intervals with priority up to p + 1, for each p; earlier ones start no later
