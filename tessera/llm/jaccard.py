@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import NON_SPACE, Words, batch_rows, cleanup, drop, fresh_dir, mix, run_hash, slices, stage
 
-#: Shingles that a bucket should hold; the number of buckets follows the corpus.
-BUCKET = 1_000_000
+#: Shingles that a bucket should hold, and buckets at least; their number follows the corpus, and is above that of tasks, so that these get like shares.
+BUCKET, BUCKETS = 1_000_000, 512
 #: Shingles that a task packs at once.
 PACK = 500_000
 #: Neighbouring rows of a file that are a run, and rows whose places one file of the shared folder holds.
@@ -403,7 +403,7 @@ def _classes(base: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 def _sets(base: DataFrame, classes: DataFrame, k: int, percent: int, bucket: int) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     places = _note(classes.select("src", "row", "d1", "cid"))
-    shared = _shared(base, places, k, max(64, total // bucket))
+    shared = _shared(base, places, k, max(BUCKETS, total // bucket))
     sets = stage(_ordered(base, places, shared, k, percent), "sets")
     cleanup(places, shared)
     return sets
