@@ -138,6 +138,18 @@ def cascade(tokens: DataFrame, tiers: list[DataFrame], on: list[str], keys: list
     return best.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("record_id"))).where(F.col("rank") <= top)
 
 
+def pack_lookup(tokens: DataFrame, packs: DataFrame, keys: list[str], cap: int = 32) -> DataFrame:
+    """Semantic pack records of tokens (surface, normalized, reading): those under the surface or the normal form; only where there are none, those under the reading. At most `cap` by record_id, with the total.
+
+    packs: key, reading, record_id.
+    """
+    direct = tokens.select(*keys, F.explode(F.array_distinct(F.array("surface", "normalized"))).alias("key")).join(packs.select("key", "record_id"), "key").select(*keys, F.lit(0).alias("tier"), "record_id")
+    read = tokens.select(*keys, "reading").join(packs.select("reading", "record_id"), "reading").select(*keys, F.lit(1).alias("tier"), "record_id")
+    w = W.partitionBy(*keys)
+    best = direct.unionByName(read).distinct().withColumn("_best", F.min("tier").over(w)).where("tier = _best").drop("_best")
+    return best.withColumn("total", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy("record_id"))).where(F.col("_n") <= cap).drop("_n")
+
+
 def reading_lookup(tokens: DataFrame, readings: DataFrame) -> DataFrame:
     """Readings (reading, record_id, restricted_to, no_kanji) of tokens (surface, normalized, reading): a restriction must name the surface or its normal form; no_kanji blocks surfaces with Han characters. Kana are folded by the caller."""
     hit = tokens.join(readings, "reading")

@@ -259,6 +259,23 @@ def add_edges(edges: DataFrame, new: DataFrame, key: str, cap: int) -> DataFrame
     return n.where(F.col("_n") <= cap).select(key, "src", "dst", "relation", F.lit(False).alias("limited")).unionByName(n.where((F.col("_n") == 1) & (F.col("_all") > cap)).select(key, none.alias("src"), none.alias("dst"), F.lit(None).cast("string").alias("relation"), F.lit(True).alias("limited")))
 
 
+def complete_senses(clauses: DataFrame, resolved: DataFrame, key: str, patterns: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """key, clause_no, lemma, sense by fixed co-occurrence (lemma, sense, words that must all stand in the clause), for clauses without a resolved sense of the lemma; the first pattern wins.
+
+    resolved: key, clause_no, lemma.
+    """
+    has = lambda words: F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("clause"), w))
+    each = F.array_compact(F.array(*[F.when(has([lemma, *words]), F.struct(F.lit(i).alias("i"), F.lit(lemma).alias("lemma"), F.lit(sense).alias("sense"))) for i, (lemma, sense, words) in enumerate(patterns)]))
+    found = clauses.select(key, "clause_no", F.explode(each).alias("m")).groupBy(key, "clause_no", F.col("m.lemma").alias("lemma")).agg(F.min_by("m.sense", "m.i").alias("sense"))
+    return found.join(resolved.select(key, "clause_no", "lemma"), [key, "clause_no", "lemma"], "left_anti")
+
+
+def clarifications(clauses: DataFrame, props: DataFrame, key: str, pattern: str) -> DataFrame:
+    """key, clause_no, prop_id of clauses that ask back (pattern): an observation is inserted where the clause has no proposition of its own."""
+    asks = clauses.where(F.col("clause").rlike(pattern)).select(key, "clause_no")
+    return clause_observations(asks, props.join(asks, [key, "clause_no"], "left_semi"), key)
+
+
 def sequence_edges(props: DataFrame, edges: DataFrame, marked_keys: DataFrame, key: str) -> DataFrame:
     """key, src, dst: from the first to the last executable action of graphs with a sequence marker, two actions at least and no `precedes` edge."""
     ends = props.where("executable").groupBy(key).agg(F.min_by("prop_id", F.struct("start", "prop_id")).alias("src"), F.max_by("prop_id", F.struct("start", "prop_id")).alias("dst"), F.count("*").alias("_n")).where("_n >= 2")

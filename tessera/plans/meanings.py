@@ -337,3 +337,30 @@ def pack_parameters(spark: SparkSession, sf: str) -> DataFrame:
     given = F.when(F.length("target") > 4, F.struct(F.lit("long").alias("speech_act"), F.array(F.lit("new"), F.lit("old")).alias("labels")))
     rows = props(spark, sf).withColumn("speech_act", F.lit("plain")).withColumn("labels", F.array(F.lit("old"))).withColumn("parameters", given)
     return meaning.apply_parameters(rows, "parameters", ["speech_act"], ["labels"]).select("utt", "prop_id", "speech_act", F.array_join("labels", "|").alias("labels"))
+
+
+_CLAUSE_SQL = _C.replace("surface AS clause", "regexp_replace(trim(surface, ' '), '[\\n]+$', '') AS clause")
+
+
+@query("sense_completion", f"WITH {_CLAUSE_SQL}, m AS (SELECT utt, clause_no, 'on' AS lemma, CASE WHEN contains(lower(clause), 'the') AND contains(lower(clause), 'of') THEN 'place' WHEN contains(lower(clause), 'is') THEN 'state' END AS sense FROM c WHERE contains(lower(clause), 'on')) SELECT utt, clause_no, lemma, sense FROM m WHERE sense IS NOT NULL AND clause_no <> 1")
+def sense_completion(spark: SparkSession, sf: str) -> DataFrame:
+    """Every first clause counts as resolved."""
+    clauses = segment.clauses(utterances(spark, sf), "utt")
+    resolved = clauses.where("clause_no = 1").select("utt", "clause_no", F.lit("on").alias("lemma"))
+    return meaning.complete_senses(clauses, resolved, "utt", [("on", "place", ["the", "of"]), ("on", "state", ["is"])])
+
+
+@query("clarification_completion", f"WITH {_P}, u AS (SELECT utt, CAST(unnest(range(1, len(regexp_extract_all(text, '[.!?]')) + 2)) AS INTEGER) AS clause_no, text FROM {_U}), k AS (SELECT utt, clause_no FROM u WHERE regexp_matches(text, ' (is|est) ')) SELECT k.utt, k.clause_no, coalesce(arg_min(prop_id, (s, prop_id)), 'obs-' || k.clause_no) AS prop_id, count(prop_id) = 0 AS inserted FROM k LEFT JOIN p ON p.utt = k.utt AND p.clause_no = k.clause_no GROUP BY k.utt, k.clause_no")
+def clarification_completion(spark: SparkSession, sf: str) -> DataFrame:
+    clauses = utterances(spark, sf).select("utt", F.explode(F.sequence(F.lit(1), F.regexp_count("text", F.lit("[.!?]")) + 1)).alias("clause_no"), F.col("text").alias("clause"))
+    return meaning.clarifications(clauses, props(spark, sf), "utt", " (is|est) ")
+
+
+@query("pack_lookup", "WITH t AS (SELECT p_partkey, p_brand AS surface, lower(p_brand) AS normalized, p_type AS reading FROM part), k AS (SELECT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'none' END AS key, p_type AS reading, p_partkey AS record_id FROM part WHERE p_brand < 'Brand#3'), h AS (SELECT DISTINCT t.p_partkey, 0 AS tier, record_id FROM t JOIN k ON k.key IN (t.surface, t.normalized) UNION SELECT t.p_partkey, 1, record_id FROM t JOIN k USING (reading)), b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY p_partkey) AS m FROM h) WHERE tier = m) SELECT p_partkey, tier, count(*) AS kept, any_value(total) AS total FROM (SELECT *, count(*) OVER (PARTITION BY p_partkey) AS total, row_number() OVER (PARTITION BY p_partkey ORDER BY record_id) AS n FROM b) WHERE n <= 32 GROUP BY ALL")
+def pack_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import match
+
+    part = table(spark, sf, "part")
+    tokens = part.select("p_partkey", F.col("p_brand").alias("surface"), F.lower("p_brand").alias("normalized"), F.col("p_type").alias("reading"))
+    packs = part.where("p_brand < 'Brand#3'").select(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("none").alias("key"), F.col("p_type").alias("reading"), F.col("p_partkey").alias("record_id"))
+    return match.pack_lookup(tokens, packs, ["p_partkey"]).groupBy("p_partkey", "tier").agg(F.count("*").alias("kept"), F.max("total").alias("total"))

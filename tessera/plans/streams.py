@@ -31,5 +31,10 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS decisions FROM events GROUP BY user_id")
 def stream_state(spark: SparkSession, sf: str) -> DataFrame:
-    out = E.drain(E.latest_state(E.read_events(spark, sf)), "update", "state")
-    return out.groupBy("user_id").agg(F.max_by(F.struct("state", "decisions"), "batch").alias("s")).select("user_id", "s.state", "s.decisions")
+    return E.drain(E.latest_state(E.read_events(spark, sf)), "complete", "state").select("user_id", "state", "decisions")
+
+
+@query("stream_history", "SELECT user_id, string_agg(event_id, ',' ORDER BY ts, event_id) AS history FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20 GROUP BY user_id")
+def stream_history(spark: SparkSession, sf: str) -> DataFrame:
+    out = E.drain(E.history(E.read_events(spark, sf)), "update", "history")
+    return out.groupBy("user_id").agg(F.max_by("history", "batch").alias("history"))

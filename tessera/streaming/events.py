@@ -1,4 +1,4 @@
-"""Structured Streaming forms: duplicate suppression, volume over time, sessions, latest decision state.
+"""Structured Streaming forms: duplicate suppression, volume over time, sessions, latest decision state, bounded history.
 
 Each run takes what is there (available now) and stops; a service would pass another trigger. State and progress are kept in
 the shared folder.
@@ -55,17 +55,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """Each user's last decision by (ts, event_id) and how many there were, updated with every batch."""
+    """Each user's last decision by (ts, event_id) and how many there were."""
+    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("decisions"))
+
+
+def history(events: DataFrame, keep: int = 20) -> DataFrame:
+    """Each user's last `keep` events by (ts, event_id), as ids in order, updated with every batch: a state that stays bounded, which no built-in aggregate is."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, ident, kind, n = state.get if state.exists else (0, -1, None, 0)
+        held = [tuple(map(int, x.split(":"))) for x in state.get[0].split(",")] if state.exists else []
         for frame in frames:
-            n += len(frame)
-            micros = frame["ts"].astype("datetime64[us]").astype("int64")
-            best = max(zip(micros, frame["event_id"], frame["event_type"], strict=True))
-            if best[:2] > (at, ident):
-                at, ident, kind = int(best[0]), int(best[1]), best[2]
-        state.update((at, ident, kind, n))
-        yield pd.DataFrame({"user_id": [key[0]], "state": [kind], "decisions": [n]})
-
-    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, state string, decisions long", "at long, ident long, kind string, n long", "update", GroupStateTimeout.NoTimeout)
+            held += zip(frame["ts"].astype("datetime64[us]").astype("int64").tolist(), frame["event_id"].tolist(), strict=True)
+            held = sorted(held)[-keep:]
+        state.update((",".join(f"{at}:{ident}" for at, ident in held),))
+        yield pd.DataFrame({"user_id": [key[0]], "history": [",".join(str(ident) for _, ident in held)]})
+
+    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, history string", "items string", "update", GroupStateTimeout.NoTimeout)
