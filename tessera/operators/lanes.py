@@ -224,3 +224,26 @@ def contract_cases(profiles: DataFrame, key: str, examples: str) -> DataFrame:
     """case_id, key, text, expected: a check for each example of a profile (examples: array of (text, expected))."""
     each = profiles.select(key, F.posexplode(examples).alias("_i", "e"))
     return each.select(F.concat(F.col(key).cast("string"), F.lit("#"), (F.col("_i") + 1).cast("string")).alias("case_id"), key, "e.text", "e.expected")
+
+
+def merge_base(records: DataFrame, keys: list[str], lists: list[str], most: int | None = None) -> DataFrame:
+    """One record for equal keys (dataset, source id, lemma): lists joined without repeats (sorted), the smallest record_id, how many were merged; the first `most` by record_id where a maximum is asked for."""
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>")))))).alias(c) for c in lists]
+    out = records.groupBy(*keys).agg(F.min("record_id").alias("record_id"), *merged, F.count("*").alias("merged"))
+    return out if most is None else out.orderBy("record_id").limit(most)
+
+
+def category_flags(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """key, flags: names of the category rules that hold, in the order of the rules; nulls hold nothing."""
+    return rows.select(key, F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), name) for name, hit in rules.items()])).alias("flags"))
+
+
+def provenance(records: DataFrame, ident: str, fields: dict[str, list[str]]) -> DataFrame:
+    """ident and each field from the first of its sources that is neither null nor blank."""
+    return records.select(ident, *[F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in sources]).alias(name) for name, sources in fields.items()])
+
+
+def strict_bucket(bucket: Column, private: Column | None = None) -> Column:
+    """A license bucket as it is, `blocked` where the row is private; an unknown license is an error, not a bucket."""
+    known = F.when(bucket == "unknown", F.raise_error(F.lit("a license that no bucket knows"))).otherwise(bucket)
+    return known if private is None else F.when(private, "blocked").otherwise(known)

@@ -353,3 +353,11 @@ def target_arguments(props: DataFrame, owners: DataFrame, key: str, text: str) -
     """key, prop_id, start, end, entity_id: where a target stands (in its proposition, else anywhere) and the entity that it names."""
     at = props.withColumn("_at", locate(F.col(text), F.col("target"), F.col("start"), F.col("end"))).withColumn("entity_key", compact_punctuation(F.col("target")))
     return at.where("target is not null and target <> ''").join(owners, [key, "entity_key"], "left").select(key, "prop_id", F.col("_at.start").alias("start"), F.col("_at.end").alias("end"), "entity_id")
+
+
+def resolve_references(texts: DataFrame, key: str, text: str, demonstrative: str, objects: str, generic: list[str], spans) -> DataFrame:
+    """key, start, value, resolved, status of every demonstrative: the last valid object (group 1 of a pattern) that stands before it; INSUFFICIENT without one."""
+    found = texts.select(key, text, F.explode(spans(F.col(text), demonstrative)).alias("m"))
+    before = F.regexp_extract_all(F.substring(F.col(text), F.lit(1), F.col("m.start")), F.lit(objects), F.lit(1))
+    last = F.try_element_at(F.filter(before, lambda x: valid_antecedent(x, generic)), F.lit(-1))
+    return found.select(key, "m.start", F.trim("m.surface").alias("value"), last.alias("resolved"), F.when(last.isNull(), "INSUFFICIENT").otherwise("RESOLVED").alias("status"))

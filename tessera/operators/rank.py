@@ -60,8 +60,10 @@ def reference_pool(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
 def former_latter(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", mention: str = "mention") -> DataFrame:
     """The last two mentions before each turn: latter and former (null where there are fewer)."""
     w = W.partitionBy(conv).orderBy(turn).rowsBetween(W.unboundedPreceding, -1)
-    seen = turns.withColumn("_seen", F.collect_list(mention).over(w))
-    return seen.withColumn("latter", F.try_element_at("_seen", F.lit(-1))).withColumn("former", F.try_element_at("_seen", F.lit(-2))).drop("_seen")
+    # each mention carries the one before it, so that no list grows along the conversation
+    pair = F.when(F.col(mention).isNotNull(), F.struct(F.col(mention).alias("latter"), F.col("_before").alias("former")))
+    seen = turns.withColumn("_before", F.last(mention, ignorenulls=True).over(w)).withColumn("_pair", pair).withColumn("_last", F.last("_pair", ignorenulls=True).over(w))
+    return seen.withColumn("latter", F.col("_last.latter")).withColumn("former", F.col("_last.former")).drop("_before", "_pair", "_last")
 
 
 def last_target(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", target: str = "target") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import lanes, lexicon
 from . import dims
 from .lexicons import _LEX, _records
@@ -230,3 +231,33 @@ def source_match_scan(spark: SparkSession, sf: str) -> DataFrame:
 def contract_cases(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select("p_partkey", F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("text"), F.col("p_brand").alias("expected"))).alias("examples"))
     return lanes.contract_cases(rows, "p_partkey", "examples")
+
+
+@query("base_merge", "SELECT p_brand, p_type, min('P' || p_partkey) AS record_id, array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), '|') AS words, count(*) AS merged FROM part GROUP BY p_brand, p_type")
+def base_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select("p_brand", "p_type", F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("record_id"), F.split("p_name", " ").alias("words"))
+    return lanes.merge_base(rows, ["p_brand", "p_type"], ["words"]).withColumn("words", F.array_join("words", "|"))
+
+
+_TEN = {
+    "short": "length(text) < 60", "long": "length(text) > 5000", "licensed": "contains(lower(text), 'licensed')", "contact": "contains(text, '@')", "junk": "contains(text, '%%%')", "quoted": "contains(text, '\"')",
+    "lines": "contains(text, chr(10))", "question": "contains(text, '?')", "german": "lang = 'de'", "unsourced": "source IS NULL OR trim(source) = ''",
+}
+
+
+@query("category_flags", f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {n!r} END' for n, c in _TEN.items())}], lambda x: x IS NOT NULL), ',') AS flags FROM documents")
+def category_flags(spark: SparkSession, sf: str) -> DataFrame:
+    rules = {n: F.expr(c.replace("\\", "")) for n, c in _TEN.items()}
+    return lanes.category_flags(table(spark, sf, "documents"), "doc_id", rules).withColumn("flags", F.array_join("flags", ","))
+
+
+@query("provenance_fields", "SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN coalesce(nullif(trim(source), ''), lang) ELSE lang END AS dataset, lang AS region, CASE WHEN n_chars % 3 = 0 THEN CAST(n_chars AS VARCHAR) END AS version FROM documents")
+def provenance_fields(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", "lang", F.lit(None).cast("string").alias("nothing"), F.when(F.col("n_chars") % 2 == 0, F.col("source")).otherwise(" ").alias("own"), F.when(F.col("n_chars") % 3 == 0, F.col("n_chars")).alias("size"))
+    return lanes.provenance(rows, "doc_id", {"dataset": ["nothing", "own", "lang"], "region": ["lang"], "version": ["nothing", "size"]})
+
+
+@query("promotion_buckets", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'blocked' WHEN p_size % 2 = 0 THEN 'permissive' ELSE 'attribution' END AS bucket FROM part")
+def promotion_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    license_ = F.when(F.col("p_size") % 2 == 0, "MIT License").otherwise("CC BY 4.0")
+    return table(spark, sf, "part").select("p_partkey", lanes.strict_bucket(X.license_bucket(license_), F.col("p_size") % 5 == 0).alias("bucket"))

@@ -364,3 +364,8 @@ def pack_lookup(spark: SparkSession, sf: str) -> DataFrame:
     tokens = part.select("p_partkey", F.col("p_brand").alias("surface"), F.lower("p_brand").alias("normalized"), F.col("p_type").alias("reading"))
     packs = part.where("p_brand < 'Brand#3'").select(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("none").alias("key"), F.col("p_type").alias("reading"), F.col("p_partkey").alias("record_id"))
     return match.pack_lookup(tokens, packs, ["p_partkey"]).groupBy("p_partkey", "tier").agg(F.count("*").alias("kept"), F.max("total").alias("total"))
+
+
+@query("references_resolved", f"WITH h AS (SELECT utt, text, CAST(s AS INTEGER) AS s, trim(surface) AS value FROM ({_duck_spans(_U, 'utt, text', 'text', ' (it|this)')})), r AS (SELECT *, list_filter(regexp_extract_all(substr(text, 1, s), '(?:the|of) ([a-z]+)', 1), lambda x: {_VALID})[-1] AS resolved FROM h) SELECT utt, s AS \"start\", value, resolved, CASE WHEN resolved IS NULL THEN 'INSUFFICIENT' ELSE 'RESOLVED' END AS status FROM r")
+def references_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return meaning.resolve_references(utterances(spark, sf), "utt", "text", " (it|this)", "(?:the|of) ([a-z]+)", _GENERIC, X.spans)
