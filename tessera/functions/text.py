@@ -79,6 +79,8 @@ def strip_markup(x: Column, rounds: int = 1) -> Column:
 
 #: Elements that a fold appends to one array before it begins the next.
 CHUNK = 64
+#: Characters of a text whose matches go to one array.
+SHORT = 1024
 
 
 def fold_append(xs: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
@@ -106,7 +108,17 @@ def spans(x: Column, pattern: str | Column) -> Column:
         end = start + F.length(p["hit"])
         return end, F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("surface"))
 
-    return fold_append(F.filter(pairs, lambda p: p["hit"].isNotNull()), F.lit(0), "struct<start:int,end:int,surface:string>", step)
+    hits = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    kind = "struct<start:int,end:int,surface:string>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def plain(a: Column, p: Column) -> Column:
+        at, out = step(a["at"], p)
+        return F.struct(at.alias("at"), F.concat(a["out"], F.array(out)).alias("out"))
+
+    # a short text has few matches: one array is enough, and quicker
+    short = F.aggregate(hits, F.struct(F.lit(0).alias("at"), none.alias("out")), plain, lambda a: a["out"])
+    return F.when(F.length(x) <= SHORT, short).otherwise(fold_append(hits, F.lit(0), kind, step))
 
 
 #: Ordered classes of names; the first that fits wins.
