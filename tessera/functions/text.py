@@ -98,8 +98,8 @@ def fold_append(xs: Column, zero: Column, kind: str, step: Callable[[Column, Col
     return F.aggregate(xs, F.struct(zero.alias("state"), one.alias("now"), many.alias("done")), each, lambda a: F.when(F.size(a["done"]) == 0, a["now"]).otherwise(F.flatten(F.concat(a["done"], F.array(a["now"])))))
 
 
-def spans(x: Column, pattern: str | Column) -> Column:
-    """Every match as (start, end, surface), [start, end) in code points."""
+def spans(x: Column, pattern: str | Column, short_only: bool = False) -> Column:
+    """Every match as (start, end, surface), [start, end) in code points. short_only: the plan has the fold for short texts alone (clauses), which is right for all, but slow for thousands of matches."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pairs = F.arrays_zip(F.split(x, pattern, -1).alias("gap"), F.regexp_extract_all(x, pattern, F.lit(0)).alias("hit"))
 
@@ -118,6 +118,8 @@ def spans(x: Column, pattern: str | Column) -> Column:
 
     # a short text has few matches: one array is enough, and quicker
     short = F.aggregate(hits, F.struct(F.lit(0).alias("at"), none.alias("out")), plain, lambda a: a["out"])
+    if short_only:
+        return short
     return F.when(F.length(x) <= SHORT, short).otherwise(fold_append(hits, F.lit(0), kind, step))
 
 

@@ -46,7 +46,7 @@ def match_rules(clauses: DataFrame, rules: DataFrame, key: str = "doc_id", liter
         hit = F.col("clause").rlike(r["pattern"])
         if r["cover"] is not None:
             hit = F.array_contains("_words", r["cover"].lower()) & hit
-        found = F.transform(spans(F.col("clause"), r["pattern"]), lambda m: F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["intent"]).alias("intent"), F.lit(r["priority"]).alias("priority"), m["start"].alias("from"), m["end"].alias("to"), m["surface"].alias("surface")))
+        found = F.transform(spans(F.col("clause"), r["pattern"], short_only=True), lambda m: F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["intent"]).alias("intent"), F.lit(r["priority"]).alias("priority"), m["start"].alias("from"), m["end"].alias("to"), m["surface"].alias("surface")))
         return F.when(hit, found)
 
     if not some:
