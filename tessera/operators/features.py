@@ -42,13 +42,21 @@ def token_exact(matches: DataFrame, tokens: DataFrame, keys: list[str]) -> DataF
     return matches.join(tokens.select(*keys, "start", "end"), [*keys, "start", "end"], "left_semi")
 
 
+def run_spans(matches: DataFrame, tokens: DataFrame, keys: list[str], allowed: Column | None = None) -> DataFrame:
+    """The distinct spans (keys, start, end) of matches that whole tokens without a gap make up, with `ok`: whether what is allowed holds for each of these.
+
+    Spans meet tokens by the places in them, so that a text's matches never meet all its tokens. Tokens are many more than the planner takes them for: both sides are sorted, neither is broadcast.
+    """
+    t = tokens.select(*keys, F.col("start").alias("_at"), F.col("end").alias("_te"), (F.lit(True) if allowed is None else allowed).alias("_ok"))
+    places = matches.select(*keys, "start", "end").distinct().where("start <= end").withColumn("_at", F.explode(F.sequence("start", "end")))
+    inside = places.join(t.hint("merge"), [*keys, "_at"]).where("_te <= end")
+    runs = inside.groupBy(*keys, "start", "end").agg(F.min("_at").alias("a"), F.max("_te").alias("b"), F.sum(F.col("_te") - F.col("_at")).alias("n"), F.bool_and("_ok").alias("ok"))
+    return runs.where((F.col("a") == F.col("start")) & (F.col("b") == F.col("end")) & (F.col("n") == F.col("end") - F.col("start"))).select(*keys, "start", "end", "ok")
+
+
 def token_runs(matches: DataFrame, tokens: DataFrame, keys: list[str], allowed: Column | None = None) -> DataFrame:
     """Matches that whole tokens without a gap make up (allowed: what must hold for each of them, on the tokens' columns): particle sequences and other runs."""
-    t = tokens.select(*keys, F.col("start").alias("_ts"), F.col("end").alias("_te"), (F.lit(True) if allowed is None else allowed).alias("_ok"))
-    inside = matches.select(*keys, "start", "end").distinct().join(t, keys).where("_ts >= start and _te <= end")
-    runs = inside.groupBy(*keys, "start", "end").agg(F.min("_ts").alias("a"), F.max("_te").alias("b"), F.sum(F.col("_te") - F.col("_ts")).alias("n"), F.bool_and("_ok").alias("ok"))
-    whole = runs.where((F.col("a") == F.col("start")) & (F.col("b") == F.col("end")) & (F.col("n") == F.col("end") - F.col("start")) & F.col("ok"))
-    return matches.join(whole.select(*keys, "start", "end"), [*keys, "start", "end"], "left_semi")
+    return matches.join(run_spans(matches, tokens, keys, allowed).where("ok").hint("merge").drop("ok"), [*keys, "start", "end"], "left_semi")
 
 
 def pos_family(tokens: DataFrame, candidates: DataFrame, families: DataFrame, keys: list[str]) -> DataFrame:

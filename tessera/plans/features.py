@@ -91,9 +91,12 @@ _H = f"h AS (SELECT utt, text, literal, s, e FROM {_hits_sql(dims.duck([(x,) for
 _TOK = f"k AS (SELECT utt, s, e FROM ({_duck_spans(_U, 'utt', 'text', '[A-Za-z]+')}))"
 
 
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    return literals.literal_hits(utterances(spark, sf), ["utt"], "text", literals.Automaton(["the", "tion", "on", "ing", "then"]))
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    texts = utterances(spark, sf)
-    return literals.literal_hits(texts, ["utt"], "text", literals.Automaton(["the", "tion", "on", "ing", "then"])).join(texts.select("utt", "text"), "utt")
+    return _spans(spark, sf).join(utterances(spark, sf).select("utt", "text"), "utt")
 
 
 def _tokens(spark: SparkSession, sf: str, pattern: str = "[A-Za-z]+") -> DataFrame:
@@ -110,11 +113,10 @@ _PAIRS = f"k AS (SELECT utt, s, e, surface FROM ({_duck_spans(_U, 'utt', 'text',
 
 @query("token_runs", f'WITH {_H}, {_PAIRS} SELECT h.utt, literal, h.s AS "start", bool_and(surface <> \'th\') AS unlike FROM h JOIN k ON k.utt = h.utt AND k.s >= h.s AND k.e <= h.e GROUP BY h.utt, literal, h.s, h.e HAVING min(k.s) = h.s AND max(k.e) = h.e AND sum(k.e - k.s) = h.e - h.s')
 def token_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches that whole two-letter tokens make up; a second run leaves out those with a token that isn't allowed."""
-    hits, tokens = _hits(spark, sf), _tokens(spark, sf, "[a-z]{2}")
-    every = features.token_runs(hits, tokens, ["utt"])
-    some = features.token_runs(hits, tokens, ["utt"], F.col("surface") != "th").select("utt", "literal", "start", F.lit(True).alias("unlike"))
-    return every.select("utt", "literal", "start").join(some, ["utt", "literal", "start"], "left").withColumn("unlike", F.coalesce("unlike", F.lit(False)))
+    """Matches that whole two-letter tokens make up, and whether each of these is allowed."""
+    hits, tokens = _spans(spark, sf), _tokens(spark, sf, "[a-z]{2}")
+    runs = features.run_spans(hits, tokens, ["utt"], F.col("surface") != "th")
+    return hits.join(runs.hint("merge"), ["utt", "start", "end"]).select("utt", "literal", "start", F.coalesce("ok", F.lit(False)).alias("unlike"))
 
 
 _WINDOW = "regexp_extract(substr(text, 1, s), '(?s)([^.!?\\n]*)$', 1) || substr(text, s + 1, e - s) || regexp_extract(substr(text, e + 1), '^[^.!?\\n]*')"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import graph, lexicon, match, rank, review, segment
+from tessera.operators import features, graph, lexicon, match, rank, review, segment
 from tessera.sources import readers, writers
 
 
@@ -179,3 +179,20 @@ def test_pack_lookup_does_not_pair_tokens_with_all_records_of_a_key(spark):
         late.cancel()
         spark.sparkContext._jsc.sc().clearJobGroup()
     assert tuple(got) == (32 * n, n, n, 31, 0)
+
+
+def test_token_runs_by_hand(spark):
+    tokens = [(1, 0, 2, True), (1, 2, 4, False), (1, 4, 6, True), (1, 7, 9, True), (2, 0, 2, True), (2, 1, 3, True), (2, 3, 3, False)]
+    matches = [(1, 0, 2), (1, 0, 4), (1, 0, 4), (1, 1, 4), (1, 4, 6), (1, 4, 9), (1, 7, 8), (1, 9, 7), (2, 0, 2), (2, 0, 3), (3, 0, 2), (None, 0, 2)]
+    t, m = spark.createDataFrame(tokens, "k int, start int, end int, good boolean"), spark.createDataFrame(matches, "k int, start int, end int")
+    assert sorted(map(tuple, features.token_runs(m, t, ["k"]).collect())) == [(1, 0, 2), (1, 0, 4), (1, 0, 4), (1, 4, 6), (2, 0, 2)]
+    assert sorted(map(tuple, features.token_runs(m, t, ["k"], F.col("good")).collect())) == [(1, 0, 2), (1, 4, 6), (2, 0, 2)]
+
+
+def test_token_runs_broadcasts_no_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "the then"), (2, "on")], "k int, text string").write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    words = lambda pattern: texts.select("k", F.explode(X.spans(F.col("text"), pattern)).alias("t")).select("k", "t.start", "t.end")
+    got = features.token_runs(words("then|on"), words("[a-z]{2}"), ["k"])
+    assert sorted(map(tuple, got.collect())) == [(1, 4, 8), (2, 0, 2)]
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
