@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Words, batch_rows, drop, list_array, ragged, run_hash, slices, stage, utf8
+from .common import ALNUM, Words, batch_rows, drop, list_array, ragged, released, run_hash, slices, stage, utf8
 
 #: Consecutive words that are looked up first; a window shorter than this is its own shingle.
 SHINGLE = 3
@@ -127,7 +127,7 @@ def _counts(docs: DataFrame, windows, keys: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
 
     out = np.zeros(len(keys), np.int64)
-    for key, n in docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most a row for each key of the block
+    for key, n in docs.select("text").mapInArrow(released(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most a row for each key of the block
         out[key] = n
     return out
 
@@ -178,7 +178,7 @@ def _probe(rows_in: DataFrame, windows) -> DataFrame:
                 hits = np.bincount(doc, weights=end - start, minlength=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(words.counts, pa.int64()), pa.array(hits), items, spans], [f.name for f in schema])
 
-    return rows_in.mapInArrow(find, schema)
+    return rows_in.mapInArrow(released(find), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Words, batch_rows, cleanup, drop, fresh_dir, mix, run_hash, slices, stage
+from .common import NON_SPACE, Words, batch_rows, cleanup, drop, fresh_dir, mix, released, run_hash, slices, stage
 
 #: Shingles that a bucket should hold, and buckets at least; their number follows the corpus, and is above that of tasks, so that these get like shares.
 BUCKET, BUCKETS = 1_000_000, 512
@@ -135,7 +135,7 @@ def _signed(base: DataFrame, k: int) -> DataFrame:
                 a, b = _digests(hashes, counts)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(counts, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "src", "row", "n", "d1", "d2"])
 
-    return base.mapInArrow(sign, "doc_id long, src long, row long, n long, d1 long, d2 long")
+    return base.mapInArrow(released(sign), "doc_id long, src long, row long, n long, d1 long, d2 long")
 
 
 def _write(folder: str, src: int, block: int, arrays: list[np.ndarray]) -> None:
@@ -264,7 +264,7 @@ def _shared(base: DataFrame, places: str, k: int, buckets: int) -> str:
         _write(folder, src, run, [h.view(np.int64), total])
         return pa.table({"src": [src]})
 
-    packed = base.mapInArrow(pack, "bucket long, src long, run long, hashes binary, many binary")
+    packed = base.mapInArrow(released(pack), "bucket long, src long, run long, hashes binary, many binary")
     shared = packed.groupBy("bucket").applyInArrow(count, "src long, run long, hashes binary, totals binary")
     shared.groupBy("src", "run").applyInArrow(keep, "src long").agg(F.count("*")).collect()
     return folder
@@ -309,7 +309,7 @@ def _ordered(base: DataFrame, places: str, shared: str, k: int, percent: int) ->
                 a = b
             yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.int64() if c in ("id", "n", "u") else pa.binary()) for c in names], names)
 
-    return base.mapInArrow(order, schema)
+    return base.mapInArrow(released(order), schema)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def _postings(sets: DataFrame) -> DataFrame:
             one = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (prefixes, sketches)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one[0], ids, n, u, u + at, one[1])], ["shingle", "id", "n", "u", "pos", "sketch"])
 
-    return sets.select("id", "n", "u", "prefix", "sketch").mapInArrow(post, "shingle long, id long, n long, u long, pos long, sketch long")
+    return sets.select("id", "n", "u", "prefix", "sketch").mapInArrow(released(post), "shingle long, id long, n long, u long, pos long, sketch long")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -359,7 +359,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * same >= percent * (na + nb - same)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(verify, "a long, b long")
+    return pairs.select("a", "b").join(one, "b").join(two, "a").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(released(verify), "a long, b long")
 
 
 def _met(postings: DataFrame, percent: int, apart: Column | None = None) -> DataFrame:

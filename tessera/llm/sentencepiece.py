@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, list_array, mix, ragged, slices, utf8
+from .common import batch_rows, list_array, mix, ragged, released, slices, utf8
 
 _META = b"\xe2\x96\x81"
 _FAR = np.int64(1 << 40)
@@ -388,7 +388,7 @@ def encode(docs: DataFrame, text: str = "text", model_path: str | None = None, m
                     columns += [pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([x == data[a:b].tobytes() for x, a, b in zip(texts, offsets, offsets[1:], strict=False)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["_row", "text", *[f.name for f in new]])
 
-    out = held.mapInArrow(run, T.StructType([*held.schema.fields, *new]))
+    out = held.mapInArrow(released(run), T.StructType([*held.schema.fields, *new]))
     return out.select(*[F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept], *[f.name for f in new])
 
 
@@ -412,7 +412,7 @@ def decode(rows: DataFrame, ids: str = "ids", model_path: str | None = None, mod
             texts = [None if not good else back[a:b].tobytes().decode("utf-8", "replace") for good, a, b in zip(lists.is_valid().to_pylist(), at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "text"])
 
-    out = held.mapInArrow(run, T.StructType([held.schema.fields[0], T.StructField("text", T.StringType())]))
+    out = held.mapInArrow(released(run), T.StructType([held.schema.fields[0], T.StructField("text", T.StringType())]))
     return out.select(*[F.col("_row")[c].alias(c) for c in kept], "text")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, slices, utf8
+from .common import batch_rows, released, slices, utf8
 
 BITS = 18
 LENGTHS = (3, 4, 5, 6)
@@ -164,7 +164,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "t
                 s = 1 / (1 + np.exp(-z))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["_row", "text", "score", "predicted"])
 
-    out = held.mapInArrow(apply, T.StructType([*held.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    out = held.mapInArrow(released(apply), T.StructType([*held.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
     return out.select(*[F.col("text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept], "score", "predicted")
 
 

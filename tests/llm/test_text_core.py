@@ -2,11 +2,13 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.llm import common
 from tessera.llm.common import ALNUM, NON_SPACE, Words, ragged, slices, utf8
 
 PATTERNS = {"space": (NON_SPACE, r"[^\x20\x09-\x0D]+"), "alnum": (ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")}
@@ -49,3 +51,20 @@ def test_slices_keep_texts_whole():
 
 def test_ragged():
     assert ragged(np.array([5, 9]), np.array([2, 0])).tolist() == [5, 6]
+
+
+def test_released_gives_back_what_a_worker_has_freed():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+
+    pins = []
+
+    def run(batches):
+        for _ in batches:
+            many = [np.ones(8000) for _ in range(4000)]  # 256 MB in pieces that malloc takes from its heap
+            pins.append(many[-1])  # above the others: without a trim none goes back
+            yield len(many)
+
+    before = resident()
+    assert list(common.released(run)([1])) == [4000]
+    assert resident() - before < 128
